@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +16,23 @@ from ontomill.schema import TABLES, columns
 class KnowledgeBase:
     """Named DataFrames with fixed schemas. Tables not given are empty."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame]):
+    def __init__(
+        self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]
+    ):
+        """``tables`` holds DataFrames, or functions that make one when first asked for."""
         unknown = set(tables) - set(TABLES)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
         self.spark = spark
-        self._tables = {name: _conform(name, df) for name, df in tables.items()}
+        self._tables = dict(tables)
 
     @classmethod
     def from_rows(cls, spark: SparkSession, **rows: list[tuple]) -> KnowledgeBase:
         """Build a knowledge base from small literal row lists (axioms, fixtures)."""
-        return cls(spark, {n: local_frame(spark, r, TABLES[n]) for n, r in rows.items() if r})
+        return cls(
+            spark,
+            {n: partial(local_frame, spark, r, TABLES[n]) for n, r in rows.items() if r},
+        )
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> KnowledgeBase:
@@ -36,21 +43,24 @@ class KnowledgeBase:
         )
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name in self._tables:
-            return self._tables[name]
-        return local_frame(self.spark, [], TABLES[name])
+        table = self._tables.get(name)
+        if table is None:
+            return local_frame(self.spark, [], TABLES[name])
+        if callable(table):
+            table = self._tables[name] = table()
+        return _conform(name, table)
 
     def has(self, *names: str) -> bool:
         """Whether every named table was given (a table not given is empty)."""
         return all(name in self._tables for name in names)
 
-    def replace(self, **tables: DataFrame) -> KnowledgeBase:
+    def replace(self, **tables: DataFrame | Callable[[], DataFrame]) -> KnowledgeBase:
         return KnowledgeBase(self.spark, {**self._tables, **tables})
 
     def union(self, other: KnowledgeBase) -> KnowledgeBase:
         merged = dict(self._tables)
-        for name, df in other._tables.items():
-            merged[name] = merged[name].unionByName(df) if name in merged else df
+        for name in other._tables:
+            merged[name] = self[name].unionByName(other[name]) if name in merged else other[name]
         return KnowledgeBase(self.spark, merged)
 
     def write(self, path: str) -> None:
@@ -76,4 +86,8 @@ def local_frame(spark: SparkSession, rows: list, schema: T.StructType) -> DataFr
 
 
 def _conform(name: str, df: DataFrame) -> DataFrame:
+    if df.columns == columns(name) and [f.dataType for f in df.schema] == [
+        f.dataType for f in TABLES[name]
+    ]:
+        return df
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ontomill.kb import KnowledgeBase
 from ontomill.operators import hierarchy
@@ -40,7 +41,9 @@ def build_kb(spark: SparkSession, abox: list[str], tbox: list[str]) -> BuiltKB:
 def kb_from_triples(individuals: DataFrame, ontology: DataFrame) -> BuiltKB:
     """As ``build_kb``, from triples; ``individuals`` should include the ontology's own."""
     spark = ontology.sparkSession
-    ontology = Scratch(spark).cut(ontology)
+    # Parsed once; the loaders then scan columns, with their predicates pushed down.
+    scratch = Scratch(spark)
+    individuals, ontology = scratch.cut(individuals), scratch.cut(ontology)
     parts = decompose(ontology)
     stated = KnowledgeBase(
         spark,
@@ -62,7 +65,7 @@ def kb_from_triples(individuals: DataFrame, ontology: DataFrame) -> BuiltKB:
             "equivalent_property": axioms.equivalent_properties(ontology),
         },
     ).union(parts.kb)
-    direct = Scratch(spark).cut(hierarchy.direct_superclasses(stated))
+    direct = scratch.cut(hierarchy.direct_superclasses(stated))
     properties = hierarchy.property_closure(stated)
     kb = stated.replace(
         subclass_of_class=stated["subclass_of_class"]
@@ -72,5 +75,5 @@ def kb_from_triples(individuals: DataFrame, ontology: DataFrame) -> BuiltKB:
         op_domain=hierarchy.inherit_domain(stated, properties),
         op_range=hierarchy.inherit_range(stated, properties),
     )
-    no_lines = spark.createDataFrame([], "line string")
+    no_lines = spark.range(0).select(F.lit(None).cast("string").alias("line"))
     return BuiltKB(kb, no_lines, parts.rejects)

@@ -16,7 +16,8 @@ def read_ntriples(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFram
     """``(triples, rejects)`` of the files at ``paths``, folders walked to the bottom.
 
     Blank node names hold within one file only, so they are marked with their file.
-    ``rejects`` has the lines that are no triples.
+    ``rejects`` has the lines that are no triples. Both parse the text when they are
+    used; write the triples to a table before using them more than once.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(list(paths))
     scope = F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit("."))
@@ -27,19 +28,19 @@ def parse_ntriples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As ``read_ntriples``, from lines in ``value``; ``scope`` marks blank nodes if given."""
     scope = F.col("scope") if "scope" in lines.columns else F.lit("")
     line = F.trim("value")
-    parsed = (
+    split = (
         lines.select(F.col("value"), scope.alias("scope"), line.alias("line"))
         .filter((F.col("line") != "") & ~F.col("line").startswith("#"))
         .withColumn("parts", F.split("line", r"\s+", 3))
-        .select(
-            "value",
-            "scope",
-            F.get("parts", F.lit(0)).alias("s"),
-            F.get("parts", F.lit(1)).alias("p"),
-            F.regexp_replace(F.get("parts", F.lit(2)), END, "").alias("o"),
-            F.col("line").rlike(END).alias("ended"),
-        )
     )
+    terms = F.struct(
+        F.get("parts", F.lit(0)).alias("s"),
+        F.get("parts", F.lit(1)).alias("p"),
+        F.regexp_replace(F.get("parts", F.lit(2)), END, "").alias("o"),
+        F.col("line").rlike(END).alias("ended"),
+    )
+    # As a generated row, the terms are worked out once and not again in every filter.
+    parsed = split.select("value", "scope", F.inline(F.array(terms)))
     good = F.coalesce(
         F.col("ended")
         & (F.col("s").rlike(IRI) | F.col("s").rlike(BLANK))

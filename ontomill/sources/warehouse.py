@@ -58,8 +58,23 @@ AXIOMS: dict[str, list[tuple]] = {
 }
 
 
+# The columns used here, so that no job has to look them up in the files.
+_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_type string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_totalprice double, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int",
+    "documents": "doc_id bigint, text string, lang string, source string",
+    "labels": "doc_id bigint, quality int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _id(prefix: str, key: str) -> Column:
@@ -160,6 +175,6 @@ def prop_individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warehouse_kb(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
     axioms = KnowledgeBase.from_rows(spark, **AXIOMS)
     return axioms.replace(
-        class_individuals=class_individuals(spark, sf_dir),
-        prop_individuals=prop_individuals(spark, sf_dir),
+        class_individuals=lambda: class_individuals(spark, sf_dir),
+        prop_individuals=lambda: prop_individuals(spark, sf_dir),
     )

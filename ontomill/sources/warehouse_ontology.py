@@ -14,6 +14,7 @@ from ontomill.functions.terms import RDF_TYPE
 from ontomill.operators.joins import union_all
 from ontomill.schema import OWL, OWL_THING, RDF, RDFS
 from ontomill.sources.ntriples import format_ntriples, parse_ntriples
+from ontomill.sources.scratch import Scratch
 from ontomill.sources.warehouse import table
 
 # Fixed value.
@@ -36,8 +37,8 @@ def _count(column: str) -> Column:
 
 
 def through_text(triples: DataFrame) -> DataFrame:
-    """Write the triples as N-Triples lines and read them back."""
-    return parse_ntriples(format_ntriples(triples))[0]
+    """Turn the triples into N-Triples lines, parse those, and keep the result as a table."""
+    return Scratch(triples.sparkSession).cut(parse_ntriples(format_ntriples(triples))[0])
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
