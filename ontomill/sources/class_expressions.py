@@ -143,11 +143,10 @@ def _uses(triples: DataFrame, nodes: DataFrame) -> DataFrame:
             F.col(cls).alias("key"), F.col(expr).alias("expr"), F.lit(side).alias("side")
         )
 
-    inner = nodes.select(F.explode(F.array("filler", "first")).alias("expr"))
-    inner = inner.filter(F.col("expr").isNotNull() & is_blank("expr")).dropDuplicates()
-    # A list of operands is a filler too, but is no expression.
-    cells = nodes.filter(F.col("first").isNotNull()).select("expr")
-    inner = inner.join(cells, "expr", "left_anti")
+    # What a union or intersection points at is a list, not an expression.
+    filler = F.when(~F.col("kind").isin("union", "intersection"), F.col("filler"))
+    inner = nodes.select(F.explode(F.array(filler, F.col("first"))).alias("expr"))
+    inner = inner.filter(is_blank("expr")).dropDuplicates()
     direct = nodes.filter(F.col("kind").isNotNull() & is_named("expr"))
     return union_all(
         [
@@ -192,8 +191,8 @@ def _operand_rows(
     )
     single = listed.filter(F.col("ind2").isNull() & ~F.col("cut_short"))
     single = single.filter(F.col("cell") == F.col("head")).select("key", "side", "kind", "ind1")
-    whole = heads.join(cells.select(F.col("cell").alias("head")), "head", "left_anti")
-    broken = whole.select("key", "expr").unionByName(
+    lost = heads.join(placed.select("head").dropDuplicates(), "head", "left_anti")
+    broken = lost.select("key", "expr").unionByName(
         listed.filter("cut_short").select("key", "expr")
     )
     return outer.unionByName(inner).dropDuplicates(), single.dropDuplicates(), broken
