@@ -105,6 +105,21 @@ def new_rows(candidates: DataFrame, known: list[DataFrame]) -> DataFrame:
     return fresh
 
 
+def new_rows_in_buckets(candidates: DataFrame, known: list[DataFrame]) -> DataFrame:
+    """``new_rows`` for known tables that are bucketed by all their columns.
+
+    Candidates are made distinct, which shuffles them into the buckets, and are then
+    merged with each known table in place. The row number, which the optimiser may
+    not move a join across, keeps it from checking every source of candidates for
+    itself before they are made distinct.
+    """
+    columns = candidates.columns
+    fresh = candidates.dropDuplicates().withColumn("_row", F.monotonically_increasing_id())
+    for table in known:
+        fresh = fresh.join(table.hint("merge"), columns, "left_anti")
+    return fresh.filter(F.col("_row") >= 0).select(*columns)
+
+
 def insert_new(candidates: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(inserted, table)``: the candidates not yet in ``current``, and both together."""
     inserted = new_rows(candidates.select(*current.columns), [current])

@@ -24,10 +24,10 @@ from ontomill.kb import KnowledgeBase
 from ontomill.operators import edges as E
 from ontomill.operators import kernels as K
 from ontomill.operators.closure import same_as_groups
-from ontomill.operators.joins import hub_join, new_rows, union_all
-from ontomill.operators.rules import RULES, SINGLE_VALUE_RULES
+from ontomill.operators.joins import hub_join, new_rows_in_buckets, union_all
+from ontomill.operators.rules import RULES
 from ontomill.schema import FACT_TABLES, columns
-from ontomill.sources.scratch import Scratch
+from ontomill.sources.scratch import Scratch, sorted_buckets
 
 CI, PI, SA = FACT_TABLES
 
@@ -101,7 +101,8 @@ class Edges:
         """Leave out facts whose ``column`` is no key, in the scan itself if possible."""
         if not all(c in self.values for c in edge_columns):
             return facts
-        return facts.filter(F.col(column).isin(sorted(set().union(*map(self.values.get, edge_columns)))))
+        keys = sorted(set().union(*(self.values[c] for c in edge_columns)))
+        return facts.filter(F.col(column).isin(keys)) if len(keys) <= MAX_KEY_VALUES else facts
 
 
 @dataclass
@@ -150,7 +151,8 @@ def materialise(
     unknown = active - set(RULES)
     if unknown:
         raise KeyError(f"unknown rules: {sorted(unknown)}")
-    return _Run(kb, active, same_as_objects).to_the_end(max_stages)
+    with sorted_buckets(kb.spark):
+        return _Run(kb, active, same_as_objects).to_the_end(max_stages)
 
 
 class _Facts:
@@ -168,7 +170,7 @@ class _Facts:
         if candidates is None:
             return 0
         keys = columns(self.name)
-        fresh = new_rows(candidates.select(*keys), [t for _, t in self.stages])
+        fresh = new_rows_in_buckets(candidates.select(*keys), [t for _, t in self.stages])
         self.attempts += 1
         label = f"{self.name}_{self.attempts}"
         written = self.scratch.write_bucketed(fresh, label, keys)
@@ -216,27 +218,27 @@ class _Run:
         self.edges: dict[str, Edges] = {}
         if not parts:
             return
-        base = self.scratch.settle(union_all(parts).dropDuplicates())
+        base, _ = self.scratch.settle(union_all(parts).dropDuplicates())
         closed = self._close_hierarchies(base)
-        full = self.scratch.settle(self._compose(base, closed).dropDuplicates())
-
-        keys = full.select("kind", "a", "b").dropDuplicates()
-        sizes = {r["kind"]: r["count"] for r in keys.groupBy("kind").count().collect()}
-        small = [kind for kind, n in sizes.items() if n <= MAX_KEY_VALUES]
-        values: dict[str, dict[str, set[str]]] = {kind: {"a": set(), "b": set()} for kind in small}
-        for row in keys.filter(F.col("kind").isin(small)).collect():
-            values[row["kind"]]["a"].add(row["a"])
-            values[row["kind"]]["b"].add(row["b"])
+        full, rows = self.scratch.settle(self._compose(base, closed).dropDuplicates())
+        if rows is None:
+            kinds = {r["kind"] for r in full.select("kind").distinct().collect()}
+        else:
+            kinds = {r["kind"] for r in rows}
         for kind, (_, names) in _KINDS.items():
-            if kind in sizes:
-                known = {names[c]: v for c, v in values.get(kind, {}).items() if c in names}
-                self.edges[kind] = Edges(_of_kind(full, kind, names), known)
+            if kind not in kinds:
+                continue
+            values = {}
+            if rows is not None:
+                mine = [r for r in rows if r["kind"] == kind]
+                values = {n: {r[c] for r in mine} for c, n in names.items() if c in ("a", "b")}
+            self.edges[kind] = Edges(_of_kind(full, kind, names), values)
 
     @staticmethod
     def _shared(kind: str, df: DataFrame, names: dict[str, str]) -> DataFrame:
-        values = {"kind": F.lit(kind), **{c: F.col(n) for c, n in names.items()}}
-        return df.select(
-            [values.get(c, F.lit(None)).cast(t).alias(c) for c, t in _EDGE_COLUMNS.items()]
+        values = {"kind": f"'{kind}'", **{c: f"`{n}`" for c, n in names.items()}}
+        return df.selectExpr(
+            *[f"CAST({values.get(c, 'NULL')} AS {t}) AS {c}" for c, t in _EDGE_COLUMNS.items()]
         )
 
     def _close_hierarchies(self, base: DataFrame) -> DataFrame:
@@ -245,19 +247,17 @@ class _Run:
         A partial closure would do: the stages finish what the edges leave out. So
         the loop stops when the closure grows too large to be handed out cheaply.
         """
-        paths = base.filter(F.col("kind").isin("class", "link")).select(
-            "kind", "a", F.coalesce("flip", F.lit(False)).alias("flip"), "dst"
+        paths = base.filter("kind IN ('class', 'link')").selectExpr(
+            "kind", "a", "coalesce(flip, false) AS flip", "dst"
         )
         size = -1
         while True:
-            onward = paths.select(
-                "kind", F.col("a").alias("dst"), F.col("flip").alias("f2"), F.col("dst").alias("d2")
+            onward = paths.selectExpr("kind", "a AS dst", "flip AS flip2", "dst AS dst2")
+            longer = paths.join(onward, ["kind", "dst"]).selectExpr(
+                "kind", "a", "flip <> flip2 AS flip", "dst2 AS dst"
             )
-            longer = paths.join(onward, ["kind", "dst"]).select(
-                "kind", "a", (F.col("flip") != F.col("f2")).alias("flip"), F.col("d2").alias("dst")
-            )
-            longer = self.scratch.settle(paths.unionByName(longer).dropDuplicates())
-            grown = longer.count()
+            longer, rows = self.scratch.settle(paths.unionByName(longer).dropDuplicates())
+            grown = longer.count() if rows is None else len(rows)
             if grown > MAX_CLOSED_EDGES:
                 return paths
             paths = longer
@@ -269,29 +269,25 @@ class _Run:
     def _compose(base: DataFrame, closed: DataFrame) -> DataFrame:
         """Carry the head of every edge up the class hierarchy, and ``end`` edges down
         the property hierarchy, so that one stage reaches all that follows directly."""
-        links = closed.filter(F.col("kind") == "link")
-        ups = closed.filter(F.col("kind") == "class").select(
-            F.col("a").alias("dst"), F.col("dst").alias("up")
-        )
-        other = base.filter(~F.col("kind").isin("class", "link"))
-        ends = other.filter(F.col("kind") == "end").withColumnRenamed("a", "super")
-        inherited = ends.drop("flip").join(
-            links.select("a", "flip", F.col("dst").alias("super")), "super"
+        links = closed.filter("kind = 'link'").selectExpr("a", "flip", "dst AS super")
+        ups = closed.filter("kind = 'class'").selectExpr("a AS dst", "dst AS up")
+        other = base.filter("kind NOT IN ('class', 'link')")
+        ends = other.filter("kind = 'end'").selectExpr("kind", "a AS super", "b", "side", "dst")
+        inherited = ends.join(links, "super").selectExpr(
+            "kind",
+            "a",
+            "b",
+            "CASE WHEN NOT flip THEN side WHEN side = 'domain' THEN 'range' ELSE 'domain' END"
+            " AS side",
+            "CAST(NULL AS BOOLEAN) AS flip",
+            "dst",
         )
-        swapped = F.when(F.col("side") == "domain", F.lit("range")).otherwise(F.lit("domain"))
-        inherited = inherited.select(
-            "kind", "a", "b",
-            F.when(F.col("flip"), swapped).otherwise(F.col("side")).alias("side"),
-            F.lit(None).cast("boolean").alias("flip"), "dst",
-        )
         other = other.unionByName(inherited)
-        raised = other.filter(F.col("dst").isNotNull()).join(ups, "dst")
-        raised = raised.drop("dst").withColumnRenamed("up", "dst")
-        hierarchy = closed.select(
-            "kind", "a", F.lit(None).cast("string").alias("b"),
-            F.lit(None).cast("string").alias("side"), "flip", "dst",
-        )
-        return union_all([other, raised.select(*other.columns), hierarchy])
+        raised = other.join(ups, "dst").selectExpr("kind", "a", "b", "side", "flip", "up AS dst")
+        hierarchy = closed.selectExpr(
+            "kind", "a", "CAST(NULL AS STRING) AS b", "CAST(NULL AS STRING) AS side", "flip", "dst"
+        )
+        return union_all([other, raised, hierarchy])
 
     # ---- stages ----
 
@@ -302,11 +298,12 @@ class _Run:
             self._write(pool, given, stage=0)
             compiling.result()
             for stage in range(1, max_stages + 1):
-                candidates = {
-                    CI: self._class_candidates(),
-                    PI: self._link_candidates(),
-                    SA: self._same_candidates(),
+                plans = {
+                    CI: pool.submit(self._class_candidates),
+                    PI: pool.submit(self._link_candidates),
+                    SA: pool.submit(self._same_candidates),
                 }
+                candidates = {name: plan.result() for name, plan in plans.items()}
                 if not self._write(pool, candidates, stage):
                     return self._finish()
         raise RuntimeError(f"facts are still growing after {max_stages} stages")
@@ -374,30 +371,37 @@ class _Run:
     def _same_candidates(self) -> DataFrame | None:
         """Links of the groups that gained a value or became known as single-valued."""
         ci, pi = self.facts[CI], self.facts[PI]
-        group = ["prop", "side", "node"]
-        ends, touched = [], []
-        if pi.delta is not None and "unique" in self.edges:
-            edges = self.edges["unique"]
-            ends.append(K.link_ends(edges.narrow(pi.full, "prop", "prop"), edges.frame))
-            touched.append(K.link_ends(edges.narrow(pi.delta, "prop", "prop"), edges.frame))
-        if "guarded_unique" in self.edges:
-            edges = self.edges["guarded_unique"]
-
-            def guarded(members: DataFrame, links: DataFrame) -> DataFrame:
-                members = edges.narrow(members, "cls", "cls")
-                return K.guarded_ends(members, edges.frame, edges.narrow(links, "prop", "prop"))
-
-            new = self._at_least_one_new(ci, pi)
-            if new:
-                ends.append(guarded(ci.full, pi.full))
-            touched += [guarded(members, links) for members, links in new]
-        if not ends:
+        if ci.delta is None and pi.delta is None:
+            return None
+        whole = self._single_valued_ends(ci.full, pi.full)
+        if whole is None:
             return None
-        whole = union_all(ends)
         if pi.old is not None:
+            new = [(x, y, False) for x, y in self._at_least_one_new(ci, pi)]
+            if pi.delta is not None:
+                new.append((None, pi.delta, True))
+            touched = [self._single_valued_ends(*inputs) for inputs in new]
+            touched = [ends for ends in touched if ends is not None]
+            if not touched:
+                return None
+            group = ["prop", "side", "node"]
             whole = hub_join(whole, union_all(touched).select(*group), group, "left_semi")
         return K.same_values(whole)
 
+    def _single_valued_ends(
+        self, ci: DataFrame | None, pi: DataFrame | None, plain: bool = True
+    ) -> DataFrame | None:
+        """Ends with one value: of single-valued properties, and of guarded subjects."""
+        ends = []
+        if plain and pi is not None and "unique" in self.edges:
+            edges = self.edges["unique"]
+            ends.append(K.link_ends(edges.narrow(pi, "prop", "prop"), edges.frame))
+        if ci is not None and pi is not None and "guarded_unique" in self.edges:
+            edges = self.edges["guarded_unique"]
+            members = edges.narrow(ci, "cls", "cls")
+            ends.append(K.guarded_ends(members, edges.frame, edges.narrow(pi, "prop", "prop")))
+        return union_all(ends) if ends else None
+
     @staticmethod
     def _at_least_one_new(a: _Facts, b: _Facts) -> list[tuple[DataFrame, DataFrame]]:
         """Pairs of inputs that together cover all combinations with a new fact."""
@@ -411,19 +415,18 @@ class _Run:
         closed = self.kb.replace(**tables)
         # While facts grow, the smallest value of a group may change. The links handed
         # out are those of the final groups, so they do not depend on the way there.
-        same = [self.kb[SA]] if self.kb.has(SA) else []
-        same += [
-            RULES[name].body(closed)
-            for name in SINGLE_VALUE_RULES
-            if name in self.active and self.kb.has(*RULES[name].axioms) and closed.has(CI, PI)
-        ]
-        if same:
-            closed = closed.replace(same_as=self.scratch.cut(union_all(same).dropDuplicates()))
+        # They are worked out when first asked for.
+        ends = self._single_valued_ends(tables.get(CI), tables.get(PI))
+        if ends is not None:
+
+            def links() -> DataFrame:
+                same = K.same_values(ends).unionByName(self.kb[SA])
+                return self.scratch.cut(same.dropDuplicates())
+
+            closed = closed.replace(same_as=links)
         self.scratch.forget_tables()
         return Materialised(closed, self.stats)
 
 
 def _of_kind(edges: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:
-    return edges.filter(F.col("kind") == kind).select(
-        [F.col(c).alias(n) for c, n in names.items()]
-    )
+    return edges.filter(f"kind = '{kind}'").selectExpr(*[f"{c} AS `{n}`" for c, n in names.items()])

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Let Spark use the order of bucket files, so that merging them needs no sort.
+
+    Holds for ``Scratch.write_bucketed``, which writes one sorted file per bucket; Spark
+    looks at the number of files itself.
+    """
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """A new folder of written tables for one run."""
 
@@ -52,8 +70,8 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def settle(self, df: DataFrame) -> DataFrame:
-        """``df`` worked out: literal rows when there are few, else a written table.
+    def settle(self, df: DataFrame) -> tuple[DataFrame, list | None]:
+        """``df`` worked out: literal rows, also returned, if few; else a written table.
 
         Rows come to the driver only when the inputs are small, and at most
         ``LITERAL_ROWS`` of them.
@@ -61,8 +79,8 @@ class Scratch:
         if input_bytes(df) <= LITERAL_INPUT_BYTES:
             rows = df.limit(LITERAL_ROWS + 1).collect()
             if len(rows) <= LITERAL_ROWS:
-                return local_frame(self.spark, rows, df.schema)
-        return self.cut(df)
+                return local_frame(self.spark, rows, df.schema), rows
+        return self.cut(df), None
 
     def write_bucketed(self, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
         """Write ``df`` hashed by ``keys`` into as many buckets as a shuffle has partitions.
