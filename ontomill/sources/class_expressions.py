@@ -10,7 +10,9 @@ cell, or the last operand itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache, partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,10 +59,17 @@ MAX_LIST_ROUNDS = 48
 
 @dataclass
 class Decomposed:
-    """Rows by table, and the expressions ``(key, expr)`` of no known kind."""
+    """Rows by table, and the expressions ``(key, expr)`` that could not be used.
+
+    Operand lists are followed only when a table that needs them is asked for.
+    """
 
     kb: KnowledgeBase
-    rejects: DataFrame
+    make_rejects: Callable[[], DataFrame]
+
+    @property
+    def rejects(self) -> DataFrame:
+        return self.make_rejects()
 
 
 def decompose(triples: DataFrame) -> Decomposed:
@@ -73,30 +82,37 @@ def decompose(triples: DataFrame) -> Decomposed:
         "expr", "kind", "prop", "filler", "card"
     )
     stated = scratch.cut(hub_join(uses, expressions, ["expr"]))
-    rejects = hub_join(uses, expressions, ["expr"], "left_anti").select("key", "expr")
 
-    restrictions = stated.filter(~F.col("kind").isin("union", "intersection"))
-    operands, single, broken = _operand_rows(stated, nodes, scratch)
-    tables: dict[str, list[DataFrame]] = {}
+    @cache
+    def lists() -> tuple[DataFrame, DataFrame, DataFrame]:
+        return _operand_rows(stated, nodes, scratch)
+
+    def rows(table: str, side: str, kind: str) -> DataFrame:
+        source = lists()[0] if kind in ("union", "intersection") else stated
+        mine = source.filter((F.col("side") == side) & (F.col("kind") == kind))
+        return _named_columns(mine, table).dropDuplicates()
+
+    def single(side: str, above: str) -> DataFrame:
+        mine = lists()[1].filter(F.col("side") == side)
+        return mine.select(F.col("key").alias("cls"), F.col("ind1").alias(above))
+
+    def equal() -> DataFrame:
+        there = single("equivalent", "equiv")
+        back = there.select(F.col("equiv").alias("cls"), F.col("cls").alias("equiv"))
+        return there.unionByName(back).dropDuplicates()
+
+    def rejects() -> DataFrame:
+        unknown = hub_join(uses, expressions, ["expr"], "left_anti").select("key", "expr")
+        return unknown.unionByName(lists()[2]).dropDuplicates()
+
+    tables: dict[str, Callable[[], DataFrame]] = {
+        "equivalent_to_class": equal,
+        "subclass_of_class": lambda: single("subclass", "supclass").dropDuplicates(),
+    }
     for side, names in (("equivalent", EQUIVALENT), ("subclass", SUBCLASS)):
         for kind, table in names.items():
-            source = operands if kind in ("union", "intersection") else restrictions
-            rows = source.filter((F.col("side") == side) & (F.col("kind") == kind))
-            tables[table] = [_named_columns(rows, table)]
-    both = single.filter(F.col("side") == "equivalent")
-    tables["equivalent_to_class"] = [
-        both.select(F.col("key").alias("cls"), F.col("ind1").alias("equiv")),
-        both.select(F.col("ind1").alias("cls"), F.col("key").alias("equiv")),
-    ]
-    tables["subclass_of_class"] = [
-        single.filter(F.col("side") == "subclass").select(
-            F.col("key").alias("cls"), F.col("ind1").alias("supclass")
-        )
-    ]
-    kb = KnowledgeBase(
-        spark, {name: union_all(parts).dropDuplicates() for name, parts in tables.items()}
-    )
-    return Decomposed(kb, rejects.unionByName(broken).dropDuplicates())
+            tables[table] = partial(rows, table, side, kind)
+    return Decomposed(KnowledgeBase(spark, tables), rejects)
 
 
 def _nodes(triples: DataFrame) -> DataFrame:
