@@ -38,22 +38,26 @@ def axiom_counts(triples: DataFrame) -> DataFrame:
     return kinds.groupBy("axiom_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ordinals(table: DataFrame, key: str, by: str) -> DataFrame:
+def ordinals(table: DataFrame, key: str, *by: str) -> DataFrame:
+    """Add ``num`` to the distinct rows: 1, 2, … within each ``key``, in the order of ``by``."""
+    return number_rows(table.dropDuplicates(), key, *by)
+
+
+def number_rows(rows: DataFrame, key: str, *by: str) -> DataFrame:
     """Add ``num``: 1, 2, … within each ``key``, in the order of ``by``.
 
     On a large table the rows of one key are numbered in pieces: the table is
     written in the order of ``(key, by)``, each piece is numbered for itself, and the
     sizes of the earlier pieces of the key are added. No key is sorted in one task.
     """
-    rows = table.dropDuplicates()
     if input_bytes(rows) <= HUB_BYTES:
-        order = Window.partitionBy(key).orderBy(by)
+        order = Window.partitionBy(key).orderBy(*by)
         return rows.withColumn("num", F.row_number().over(order))
-    return ordinals_in_pieces(rows, key, by)
+    return ordinals_in_pieces(rows, key, *by)
 
 
-def ordinals_in_pieces(rows: DataFrame, key: str, by: str) -> DataFrame:
-    ranged = rows.repartitionByRange(key, by).withColumn("_piece", F.spark_partition_id())
+def ordinals_in_pieces(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    ranged = rows.repartitionByRange(key, *by).withColumn("_piece", F.spark_partition_id())
     ranged = Scratch(rows.sparkSession).cut(ranged)
     sizes = ranged.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_size"))
     # One row per key and piece: no more than keys plus partitions.
@@ -61,7 +65,7 @@ def ordinals_in_pieces(rows: DataFrame, key: str, by: str) -> DataFrame:
     offsets = sizes.select(
         key, "_piece", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy(key, "_piece").orderBy(by)
+    inside = Window.partitionBy(key, "_piece").orderBy(*by)
     numbered = ranged.withColumn("_num", F.row_number().over(inside))
     return numbered.join(offsets, [key, "_piece"]).select(
         *rows.columns, (F.col("_num") + F.col("_before")).cast("int").alias("num")

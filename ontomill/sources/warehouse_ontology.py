@@ -7,11 +7,12 @@ by order status; each list has one cell per line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontomill.functions.terms import RDF_TYPE
-from ontomill.operators.joins import union_all
+from ontomill.operators.joins import hub_join, union_all
+from ontomill.operators.stats import number_rows
 from ontomill.schema import OWL, OWL_THING, RDF, RDFS
 from ontomill.sources.ntriples import format_ntriples, parse_ntriples
 from ontomill.sources.scratch import Scratch
@@ -47,7 +48,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, doc = _n("order:", "o_orderkey"), _n("doc:", "doc_id")
     price = F.concat(F.lit('"'), F.col("o_totalprice").cast("string"), F.lit('"'))
     first_copy = documents.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("first"))
-    copies = documents.select("doc_id", F.md5("text").alias("h")).join(first_copy, "h")
+    copies = hub_join(documents.select("doc_id", F.md5("text").alias("h")), first_copy, ["h"])
     copies = copies.filter(F.col("doc_id") != F.col("first"))
     return union_all(
         [
@@ -149,13 +150,12 @@ def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
         _t(part, odd, OWL + "oneOf", RDF + "nil"),
     ]
 
-    by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_partkey",
-        F.row_number().over(by_line).alias("line"),
-        F.lead(F.lit(1)).over(by_line).alias("more"),
-    )
+    lines = table(spark, sf_dir, "lineitem")
+    lines = number_rows(lines, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = lines.select("l_orderkey", "l_partkey", F.col("num").alias("line"))
+    # Order and number make a row, so that no order is gathered in one task.
+    preceding = lines.select("l_orderkey", (F.col("line") - 1).alias("line"), F.lit(1).alias("more"))
+    lines = lines.join(preceding, ["l_orderkey", "line"], "left")
     cell = _n("_:cell", "l_orderkey", "line")
     after = F.concat(
         F.lit("_:cell"), F.col("l_orderkey").cast("string"), F.lit("-"), (F.col("line") + 1)
