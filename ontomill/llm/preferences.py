@@ -74,7 +74,7 @@ def common_turns(one: Column, other: Column) -> Column:
         F.sequence(F.lit(1), n), lambda i: ~F.element_at(one, i).eqNullSafe(F.element_at(other, i))
     )
     return F.when(n < 1, F.lit(0)).otherwise(
-        F.coalesce(F.element_at(differ, 1) - 1, n)
+        F.coalesce(F.get(differ, F.lit(0)) - 1, n)
     )
 
 

@@ -32,6 +32,10 @@ STEM = 4
 #: Bound of the training sample, calibration included.
 SAMPLE_ROWS = 6_000
 EPOCHS = 8
+#: Passes over a small sample, which needs more of them: so many steps, in so many passes.
+MIN_STEPS, MOST_EPOCHS = 400, 30
+#: Weight of the prior of a bucket, in texts.
+PRIOR_TEXTS = 6
 BATCH = 16
 #: The score from which on a text counts as toxic.
 LIMIT = 0.7
@@ -141,8 +145,26 @@ def _forward_backward(model: Model, texts: list[np.ndarray], labels: np.ndarray)
     return touched, pulls, [*d_filters, *d_biases, d_out, np.array([d_out_bias])]
 
 
+def _log_odds(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Of each bucket: log of how much likelier label 1 is in texts that hold it.
+
+    Smoothed by ``PRIOR_TEXTS`` texts with the usual share, so a bucket seen in one text
+    says next to nothing.
+    """
+    seen = np.zeros((2, BUCKETS))
+    for ids, label in zip(texts, labels):
+        seen[int(label), np.unique(ids)] += 1
+    share = min(max(float(labels.mean()), 0.01), 0.99) if len(labels) else 0.5
+    own = (seen[1] + PRIOR_TEXTS * share) / (seen.sum(axis=0) + PRIOR_TEXTS)
+    return np.log(own / (1 - own)) - np.log(share / (1 - share))
+
+
 def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Fit the network; the same rows give the same weights. Rare labels weigh no more."""
+    """Fit the network; the same rows give the same weights.
+
+    Vectors start at random but for their first number, the smoothed log odds of the
+    bucket, which the first filter of each width reads at the start.
+    """
     rng = np.random.default_rng(seed)
     model = Model(
         table=(rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))).astype(np.float32),
@@ -153,14 +175,18 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         out=rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32),
         out_bias=-1.0,
     )
+    model.table[:, 0] = _log_odds(texts, labels)
     model.table[0] = 0
+    for weights in model.filters:
+        weights[:, 0, 0] = 1.0 / len(weights)
     reach = max(WIDTHS)
     padded = [np.concatenate([t, np.zeros((reach, 2), np.int32)]) for t in texts]
     dense = [*model.filters, *model.biases, model.out, np.array([model.out_bias])]
     first, second = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
     squares = np.zeros(BUCKETS, np.float32)
     step = 0
-    for _ in range(EPOCHS):
+    wanted = -(-MIN_STEPS * BATCH // max(1, len(texts)))
+    for _ in range(max(EPOCHS, min(MOST_EPOCHS, wanted))):
         order = rng.permutation(len(padded))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
