@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontomill.llm.common import WordHashes, mix64, slices, window_hashes, words_of
+from ontomill.llm.common import WordHasher, mix64, slices, window_hashes, words_of
 from ontomill.sources.scratch import Scratch
 
 DEPTH = 2
@@ -46,8 +46,8 @@ CHUNK_WINDOWS = 1_500_000
 
 
 @lru_cache(maxsize=1)
-def _words() -> WordHashes:
-    return WordHashes(seed=9)
+def _hasher() -> WordHasher:
+    return WordHasher()
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -76,11 +76,11 @@ def _chunks(
     """Windows of many documents at a time: hash, document, place of the first word."""
     hashes, docs, places, n = [], [], [], 0
     for part in slices(batches):
-        for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            words = words_of(text) if doc is not None else ()
-            if len(words) < size:
+        found = _hasher().of_texts(part.column(1).to_pylist())
+        for doc, words in zip(part.column(0).to_pylist(), found):
+            if doc is None or len(words) < size:
                 continue
-            own = window_hashes(_words().of(words), size)
+            own = window_hashes(words, size)
             hashes.append(own)
             docs.append(np.full(len(own), doc, np.int64))
             places.append(np.arange(len(own), dtype=np.int32))
