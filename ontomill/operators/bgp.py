@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontomill.kb import KnowledgeBase
-from ontomill.operators.joins import hub_join
+from ontomill.operators.joins import key_join
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def bgp(kb: KnowledgeBase, patterns: Sequence[Type | Link], select: Sequence[Var
             raise ValueError("the patterns are not connected by shared variables")
         tables.remove(linked)
         on = [c for c in linked.columns if c in result.columns]
-        result = hub_join(result, linked, on)
+        result = key_join(result, linked, on)
         needed = set(wanted).union(*(t.columns for t in tables))
         result = result.select([c for c in result.columns if c in needed])
     return result.select(*wanted).dropDuplicates()
@@ -102,7 +102,7 @@ def _fold(tables: list[DataFrame], wanted: list[str]) -> list[DataFrame]:
             shared = [c for c in leaf.columns if c in elsewhere]
             host = next((t for t in others if set(shared) <= set(t.columns)), None)
             if shared and host is not None:
-                smaller = hub_join(host, leaf, shared, "left_semi")
+                smaller = key_join(host, leaf, shared, "left_semi")
                 tables = [smaller if t is host else t for t in others]
                 folded = True
                 break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontomill.operators.joins import hub_join, new_rows
+from ontomill.operators.joins import key_join, new_rows
 from ontomill.sources.scratch import Scratch
 
 
@@ -20,7 +20,7 @@ def transitive_closure(edges: DataFrame, src: str, dst: str, max_rounds: int = 1
     onward = steps.select(F.col(src).alias("_mid"), F.col(dst).alias("_end"))
     parts, delta = [steps], steps
     for _ in range(max_rounds):
-        paths = hub_join(delta.withColumnRenamed(dst, "_mid"), onward, ["_mid"]).select(
+        paths = key_join(delta.withColumnRenamed(dst, "_mid"), onward, ["_mid"]).select(
             src, F.col("_end").alias(dst)
         )
         delta = scratch.cut(new_rows(paths, parts))
@@ -57,8 +57,8 @@ def same_as_groups(same_as: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     and "small star" steps (Kiveris et al., Connected Components in MapReduce and
     Beyond, 2014): every step points the neighbours of a node at the smallest of
     them. The number of rounds grows with the logarithm of the longest chain, no
-    group is ever gathered in one task, and a node with very many neighbours is
-    split by ``hub_join``.
+    group is ever gathered in one task, and the partitions of a
+    node with very many neighbours are split by adaptive execution.
     """
     scratch = Scratch(same_as.sparkSession)
     links = same_as.select(
@@ -85,14 +85,14 @@ def _large_star(links: DataFrame) -> DataFrame:
         links.select(F.col("root").alias("u"), F.col("node").alias("v"))
     )
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = hub_join(both, least, ["u"]).filter(F.col("v") > F.col("u"))
+    moved = key_join(both, least, ["u"]).filter(F.col("v") > F.col("u"))
     return moved.select(F.col("v").alias("node"), F.col("m").alias("root")).dropDuplicates()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Point every smaller neighbour of a node, and the node, at the smallest of them."""
     least = links.groupBy("node").agg(F.min("root").alias("m"))
-    moved = hub_join(links, least, ["node"])
+    moved = key_join(links, least, ["node"])
     neighbours = moved.select(F.col("root").alias("node"), F.col("m").alias("root"))
     own = least.select("node", F.col("m").alias("root"))
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ontomill.kb import KnowledgeBase
 from ontomill.operators.closure import transitive_closure
-from ontomill.operators.joins import hub_join, union_all
+from ontomill.operators.joins import key_join, union_all
 from ontomill.schema import OWL_NOTHING, OWL_THING
 from ontomill.sources.scratch import Scratch
 
@@ -50,7 +50,7 @@ def direct_superclasses(kb: KnowledgeBase, closed: DataFrame | None = None) -> D
     strict = Scratch(kb.spark).cut(closed.join(back, ["cls", "supclass"], "left_anti"))
     lower = strict.select("cls", F.col("supclass").alias("mid"))
     upper = strict.select(F.col("cls").alias("mid"), "supclass")
-    over_two = hub_join(lower, upper, ["mid"]).select("cls", "supclass").dropDuplicates()
+    over_two = key_join(lower, upper, ["mid"]).select("cls", "supclass").dropDuplicates()
     return strict.join(over_two, ["cls", "supclass"], "left_anti")
 
 
@@ -83,7 +83,7 @@ def property_closure(kb: KnowledgeBase) -> DataFrame:
 def _inherit(kb: KnowledgeBase, table: str, side: str, closed: DataFrame | None) -> DataFrame:
     closed = property_closure(kb) if closed is None else closed
     above = closed.select(F.col("prop").alias("below"), F.col("super_prop").alias("property"))
-    inherited = hub_join(above, kb[table], ["property"]).select(
+    inherited = key_join(above, kb[table], ["property"]).select(
         side, F.col("below").alias("property")
     )
     return kb[table].unionByName(inherited).dropDuplicates()

@@ -1,9 +1,9 @@
-"""Joins that stay balanced when one key holds a large share of the rows.
+"""Joins on shared columns, and rows that are new.
 
-Spark broadcasts a join side only when its own size estimate is below
-``spark.sql.autoBroadcastJoinThreshold``; nothing here forces a broadcast of data
-whose size is not bounded. Beyond the threshold ``hub_join`` looks for keys with
-very many rows ("hubs") and spreads only those over several partitions.
+Joins are plain equi-joins: Spark broadcasts a side that its own estimate allows, and
+adaptive execution splits the partitions of a key with very many rows. Nothing here
+looks at sizes or forces a plan, so every input is read as often on large data as on
+small.
 """
 
 from __future__ import annotations
@@ -13,88 +13,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side that reads fewer bytes than this holds no hub worth splitting.
-HUB_BYTES = 256 * 1024 * 1024
-#: Rows of one key that a single task should take at most.
-HUB_ROWS = 5_000_000
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of all tables that ``df`` reads, going by Spark's file and row sizes.
-
-    Runs no job and no optimisation. Unlike the estimate for a whole plan it does not
-    multiply the sizes of joined tables.
-    """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether ``df`` reads so little that Spark broadcasts it when planning or running."""
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return input_bytes(df) <= int(conf.autoBroadcastJoinThreshold())
-
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def hub_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on the shared columns ``on``; ``how`` is inner, left_semi or left_anti.
-
-    When one side fits a broadcast, or neither side is large enough to hold a hub,
-    this is a plain join. Otherwise the rows of each hub key are dealt over
-    ``rows / HUB_ROWS`` partitions by a hash of their other columns, and the
-    matching rows of the other side are repeated for each of those partitions. The
-    result is the same as that of the plain join.
-    """
-    if how != "inner":
-        right = right.select(*on).dropDuplicates()
-    if fits_broadcast(right) or (how == "inner" and fits_broadcast(left)):
-        return left.join(right, on, how)
-
-    hubs = [
-        _hub_keys(side, on, copies)
-        for side, copies in ((left, "_left_copies"), (right, "_right_copies"))
-        if input_bytes(side) > HUB_BYTES and (side is left or how == "inner")
-    ]
-    if not hubs:
-        return left.join(right, on, how)
-
-    # At most (rows of both sides / HUB_ROWS) keys are listed, which bounds the broadcast.
-    listed = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), hubs)
-    for copies in ("_left_copies", "_right_copies"):
-        if copies not in listed.columns:
-            listed = listed.withColumn(copies, F.lit(None).cast("int"))
-    listed = F.broadcast(
-        listed.groupBy(*on).agg(
-            F.coalesce(F.max("_left_copies"), F.lit(1)).alias("_left_copies"),
-            F.coalesce(F.max("_right_copies"), F.lit(1)).alias("_right_copies"),
-        )
-    )
-    dealt_left = _deal(left, listed, on, "_left", "_right")
-    dealt_right = _deal(right, listed, on, "_right", "_left")
-    return dealt_left.join(dealt_right, [*on, "_left_slot", "_right_slot"], how).drop(
-        "_left_slot", "_right_slot"
-    )
-
-
-def _hub_keys(df: DataFrame, on: list[str], copies: str) -> DataFrame:
-    rows = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HUB_ROWS)
-    return rows.select(*on, F.ceil(F.col("_rows") / HUB_ROWS).cast("int").alias(copies))
-
-
-def _deal(df: DataFrame, listed: DataFrame, on: list[str], own: str, other: str) -> DataFrame:
-    """Give each row one slot on its own axis and all slots on the other side's axis."""
-    rest = [c for c in df.columns if c not in on] or on
-    own_copies = F.coalesce(F.col(f"{own}_copies"), F.lit(1))
-    other_copies = F.coalesce(F.col(f"{other}_copies"), F.lit(1))
-    return (
-        df.join(listed, on, "left")
-        .withColumn(f"{own}_slot", F.pmod(F.xxhash64(*rest), own_copies).cast("int"))
-        .withColumn(f"{other}_slot", F.explode(F.sequence(F.lit(0), other_copies - 1)))
-        .drop("_left_copies", "_right_copies")
-    )
+def key_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on the shared columns ``on``; ``how`` is inner, left_semi or left_anti."""
+    return left.join(right if how == "inner" else right.select(*on), on, how)
 
 
 def new_rows(candidates: DataFrame, known: list[DataFrame]) -> DataFrame:

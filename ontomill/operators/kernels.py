@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontomill.operators.joins import hub_join
+from ontomill.operators.joins import key_join
 
 
 def _end(side: Column) -> Column:
@@ -22,25 +22,25 @@ def _other_end(side: Column) -> Column:
 
 
 def class_to_class(ci: DataFrame, edges: DataFrame) -> DataFrame:
-    reached = hub_join(ci, edges.withColumnRenamed("src", "cls"), ["cls"])
+    reached = key_join(ci, edges.withColumnRenamed("src", "cls"), ["cls"])
     return reached.select(F.col("dst").alias("cls"), "individual")
 
 
 def class_pair_to_class(ci: DataFrame, edges: DataFrame, second: DataFrame) -> DataFrame:
     """``ci`` supplies the c1 members, ``second`` the c2 members."""
-    half = hub_join(ci, edges.withColumnRenamed("c1", "cls"), ["cls"])
+    half = key_join(ci, edges.withColumnRenamed("c1", "cls"), ["cls"])
     half = half.select(F.col("c2").alias("cls"), "individual", "dst")
     # Both keys together identify a row of ``second``; no class can make a hub.
     return half.join(second, ["cls", "individual"]).select(F.col("dst").alias("cls"), "individual")
 
 
 def property_to_class(pi: DataFrame, edges: DataFrame) -> DataFrame:
-    reached = hub_join(pi, edges, ["prop"])
+    reached = key_join(pi, edges, ["prop"])
     return reached.select(F.col("dst").alias("cls"), _end(F.col("side")).alias("individual"))
 
 
 def property_to_property(pi: DataFrame, edges: DataFrame) -> DataFrame:
-    reached = hub_join(pi, edges.withColumnRenamed("src", "prop"), ["prop"])
+    reached = key_join(pi, edges.withColumnRenamed("src", "prop"), ["prop"])
     return reached.select(
         F.col("dst").alias("prop"),
         F.when(F.col("flip"), F.col("range")).otherwise(F.col("domain")).alias("domain"),
@@ -50,7 +50,7 @@ def property_to_property(pi: DataFrame, edges: DataFrame) -> DataFrame:
 
 def link_ends(pi: DataFrame, ends: DataFrame) -> DataFrame:
     """``(prop, side, node, other)`` for each end that ``ends`` (prop, side) names."""
-    return hub_join(pi, ends.dropDuplicates(), ["prop"]).select(
+    return key_join(pi, ends.dropDuplicates(), ["prop"]).select(
         "prop",
         "side",
         _end(F.col("side")).alias("node"),
@@ -59,19 +59,19 @@ def link_ends(pi: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def guarded_property_to_class(ci: DataFrame, edges: DataFrame, pi: DataFrame) -> DataFrame:
-    guards = hub_join(ci, edges, ["cls"]).select(
+    guards = key_join(ci, edges, ["cls"]).select(
         "prop", "side", F.col("individual").alias("node"), "dst"
     )
     ends = link_ends(pi, edges.select("prop", "side"))
-    reached = hub_join(ends, guards, ["prop", "side", "node"])
+    reached = key_join(ends, guards, ["prop", "side", "node"])
     return reached.select(F.col("dst").alias("cls"), F.col("other").alias("individual"))
 
 
 def guarded_ends(ci: DataFrame, edges: DataFrame, pi: DataFrame) -> DataFrame:
     """Ends ``(prop, side, node, other)`` of links whose subject is in the guard class."""
-    guards = hub_join(ci, edges, ["cls"]).select("prop", F.col("individual").alias("node"))
+    guards = key_join(ci, edges, ["cls"]).select("prop", F.col("individual").alias("node"))
     ends = link_ends(pi, edges.select("prop", F.lit("domain").alias("side")))
-    return hub_join(ends, guards, ["prop", "node"], "left_semi").select(
+    return key_join(ends, guards, ["prop", "node"], "left_semi").select(
         "prop", "side", "node", "other"
     )
 
@@ -90,7 +90,7 @@ def same_values(ends: DataFrame) -> DataFrame:
         .select("prop", "side", "node", "least")
     )
     spokes = (
-        hub_join(ends, smallest, ["prop", "side", "node"])
+        key_join(ends, smallest, ["prop", "side", "node"])
         .filter(F.col("other") != F.col("least"))
         .select(F.explode(F.array(_pair("other", "least"), _pair("least", "other"))).alias("_p"))
     )
@@ -103,7 +103,7 @@ def same_pairs(ends: DataFrame) -> DataFrame:
     The result is quadratic in the number of values of an end, as asked for.
     """
     right = ends.withColumnRenamed("other", "same")
-    pairs = hub_join(ends.withColumnRenamed("other", "ind"), right, ["prop", "side", "node"])
+    pairs = key_join(ends.withColumnRenamed("other", "ind"), right, ["prop", "side", "node"])
     return pairs.filter(F.col("ind") != F.col("same")).select("ind", "same")
 
 
@@ -113,11 +113,11 @@ def _pair(ind: str, same: str) -> Column:
 
 def same_to_class(ci: DataFrame, sa: DataFrame) -> DataFrame:
     links = sa.select(F.col("ind").alias("individual"), "same")
-    return hub_join(links, ci, ["individual"]).select("cls", F.col("same").alias("individual"))
+    return key_join(links, ci, ["individual"]).select("cls", F.col("same").alias("individual"))
 
 
 def same_to_property(pi: DataFrame, sa: DataFrame, side: str = "domain") -> DataFrame:
     """Replace the ``side`` end of each link by the individuals equal to it."""
     links = sa.select(F.col("ind").alias(side), "same")
-    moved = hub_join(pi, links, [side]).drop(side).withColumnRenamed("same", side)
+    moved = key_join(pi, links, [side]).drop(side).withColumnRenamed("same", side)
     return moved.select("prop", "domain", "range")

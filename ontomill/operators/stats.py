@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ontomill.functions.terms import axiom_type
 from ontomill.kb import KnowledgeBase
-from ontomill.operators.joins import HUB_BYTES, input_bytes
 from ontomill.sources.scratch import Scratch
 
 
@@ -46,17 +45,10 @@ def ordinals(table: DataFrame, key: str, *by: str) -> DataFrame:
 def number_rows(rows: DataFrame, key: str, *by: str) -> DataFrame:
     """Add ``num``: 1, 2, … within each ``key``, in the order of ``by``.
 
-    On a large table the rows of one key are numbered in pieces: the table is
-    written in the order of ``(key, by)``, each piece is numbered for itself, and the
-    sizes of the earlier pieces of the key are added. No key is sorted in one task.
+    The rows of one key are numbered in pieces: the table is written in the order of
+    ``(key, by)``, each piece is numbered for itself, and the sizes of the earlier pieces
+    of the key are added. No key is sorted in one task.
     """
-    if input_bytes(rows) <= HUB_BYTES:
-        order = Window.partitionBy(key).orderBy(*by)
-        return rows.withColumn("num", F.row_number().over(order))
-    return ordinals_in_pieces(rows, key, *by)
-
-
-def ordinals_in_pieces(rows: DataFrame, key: str, *by: str) -> DataFrame:
     ranged = rows.repartitionByRange(key, *by).withColumn("_piece", F.spark_partition_id())
     ranged = Scratch(rows.sparkSession).cut(ranged)
     sizes = ranged.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_size"))

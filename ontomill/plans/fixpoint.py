@@ -24,7 +24,7 @@ from ontomill.kb import KnowledgeBase
 from ontomill.operators import edges as E
 from ontomill.operators import kernels as K
 from ontomill.operators.closure import same_as_groups
-from ontomill.operators.joins import hub_join, new_rows_in_buckets, union_all
+from ontomill.operators.joins import key_join, new_rows_in_buckets, union_all
 from ontomill.operators.rules import RULES
 from ontomill.schema import FACT_TABLES, columns
 from ontomill.sources.scratch import Scratch, sorted_buckets
@@ -151,8 +151,18 @@ def materialise(
     unknown = active - set(RULES)
     if unknown:
         raise KeyError(f"unknown rules: {sorted(unknown)}")
-    with sorted_buckets(kb.spark):
-        return _Run(kb, active, same_as_objects).to_the_end(max_stages)
+    if "same_as_transitive_closure" in active:
+        raise ValueError(
+            "the sameAs closure is no rule of the loop; apply closure.same_as_closure, or "
+            "closure.same_as_groups in linear space, to the result"
+        )
+    run = _Run(kb, active, same_as_objects)
+    try:
+        with sorted_buckets(kb.spark):
+            return run.to_the_end(max_stages)
+    except BaseException:
+        run.scratch.forget_tables()
+        raise
 
 
 class _Facts:
@@ -385,7 +395,7 @@ class _Run:
             if not touched:
                 return None
             group = ["prop", "side", "node"]
-            whole = hub_join(whole, union_all(touched).select(*group), group, "left_semi")
+            whole = key_join(whole, union_all(touched).select(*group), group, "left_semi")
         return K.same_values(whole)
 
     def _single_valued_ends(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontomill.functions.terms import RDF_TYPE, is_blank, is_named
-from ontomill.operators.joins import hub_join
+from ontomill.operators.joins import key_join
 from ontomill.schema import OWL, OWL_THING, RDF, RDFS
 
 # Types that only object properties have.
@@ -57,7 +57,7 @@ def property_assertions(triples: DataFrame, properties: DataFrame) -> DataFrame:
     rows = triples.filter(is_named("p") & is_named("s") & is_named("o")).select(
         F.col("p").alias("prop"), F.col("s").alias("domain"), F.col("o").alias("range")
     )
-    return hub_join(rows, properties, ["prop"], "left_semi").dropDuplicates()
+    return key_join(rows, properties, ["prop"], "left_semi").dropDuplicates()
 
 
 def functional_properties(triples: DataFrame) -> DataFrame:

@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from ontomill.functions.terms import is_blank, is_named
 from ontomill.kb import KnowledgeBase
-from ontomill.operators.joins import hub_join, union_all
+from ontomill.operators.joins import key_join, union_all
 from ontomill.schema import OWL, OWL_THING, RDF, RDFS, columns
 from ontomill.sources.scratch import Scratch
 
 NIL = RDF + "nil"
+#: Fixed value: the literals that are taken as a number, of nine digits at most.
+WHOLE_NUMBER = r'^"\s*\+?0*(\d{1,9})\s*"(\^\^.*|@.*)?$'
 
 # The predicate that makes a node an expression of each kind.
 KINDS = {
@@ -53,8 +55,6 @@ SUBCLASS = {
     "min_cardinality": "subclass_of_min_cardinality",
     "max_cardinality": "subclass_of_max_cardinality",
 }
-#: Path doubling passes the longest possible list long before; only a ring remains.
-MAX_LIST_ROUNDS = 48
 
 
 @dataclass
@@ -76,12 +76,10 @@ def decompose(triples: DataFrame) -> Decomposed:
     """Take apart every class expression that ``triples`` state of a class."""
     spark = triples.sparkSession
     scratch = Scratch(spark)
-    nodes = scratch.cut(_nodes(triples))
-    uses = scratch.cut(_uses(triples, nodes))
-    expressions = nodes.filter(F.col("kind").isNotNull()).select(
-        "expr", "kind", "prop", "filler", "card"
-    )
-    stated = scratch.cut(hub_join(uses, expressions, ["expr"]))
+    expressions = scratch.cut(_expressions(triples))
+    nodes = scratch.cut(_cells(triples))
+    uses = scratch.cut(_uses(triples, expressions, nodes))
+    stated = scratch.cut(key_join(uses, expressions, ["expr"]))
 
     @cache
     def lists() -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,7 +100,7 @@ def decompose(triples: DataFrame) -> Decomposed:
         return there.unionByName(back).dropDuplicates()
 
     def rejects() -> DataFrame:
-        unknown = hub_join(uses, expressions, ["expr"], "left_anti").select("key", "expr")
+        unknown = key_join(uses, expressions, ["expr"], "left_anti").select("key", "expr")
         return unknown.unionByName(lists()[2]).dropDuplicates()
 
     tables: dict[str, Callable[[], DataFrame]] = {
@@ -115,38 +113,73 @@ def decompose(triples: DataFrame) -> Decomposed:
     return Decomposed(KnowledgeBase(spark, tables), rejects)
 
 
-def _nodes(triples: DataFrame) -> DataFrame:
-    """One row per expression node or list cell, its parts in columns.
+def _part(*predicates: str) -> list[Column]:
+    """The smallest and the largest object that a node has under some predicates."""
+    value = F.when(F.col("p").isin(*predicates), F.col("o"))
+    return [F.min(value), F.max(value)]
 
-    A node has few triples, and they are reduced before they are shuffled.
-    """
 
-    def part(*predicates: str) -> Column:
-        return F.max(F.when(F.col("p").isin(*predicates), F.col("o")))
+def _expressions(triples: DataFrame) -> DataFrame:
+    """``(expr, kind, prop, filler, card)``: everything that is stated of a node.
 
-    kind_of = F.lit(None).cast("string")
-    for kind, predicates in KINDS.items():
-        kind_of = F.when(F.col("p").isin(*predicates), kind).otherwise(kind_of)
-    plain = [p for kind in ("all", "some", "complement", "union", "intersection") for p in KINDS[kind]]
+    Each union, intersection and complement of a node is a row of its own. The parts of
+    a restriction are put together; a node with two values of one part, or with a number
+    that is none, is no expression and ends up among the rejects of what uses it.
+    """
+    plain = F.lit(None).cast("string")
+    for kind in ("complement", "union", "intersection"):
+        plain = F.when(F.col("p").isin(*KINDS[kind]), kind).otherwise(plain)
+    boolean = triples.withColumn("kind", plain).filter(F.col("kind").isNotNull()).select(
+        F.col("s").alias("expr"),
+        "kind",
+        F.lit(None).cast("string").alias("prop"),
+        F.col("o").alias("filler"),
+        F.lit(None).cast("int").alias("card"),
+    )
+    restriction = F.lit(None).cast("string")
+    for kind in ("all", "some", "min_cardinality", "max_cardinality"):
+        restriction = F.when(F.col("p").isin(*KINDS[kind]), kind).otherwise(restriction)
     counts = [*KINDS["min_cardinality"], *KINDS["max_cardinality"]]
-    used = [*plain, *counts, OWL + "onProperty", OWL + "onClass", RDF + "first", RDF + "rest"]
-    return (
-        triples.filter(F.col("p").isin(*used))
+    fillers = [*KINDS["all"], *KINDS["some"], OWL + "onClass"]
+    parts = {
+        "kind": [F.min(restriction), F.max(restriction)],
+        "prop": _part(OWL + "onProperty"),
+        "filler": _part(*fillers),
+        "digits": _part(*counts),
+    }
+    ends = [c.alias(f"{n}_{i}") for n, pair in parts.items() for i, c in enumerate(pair)]
+    whole = (
+        triples.filter(F.col("p").isin(*counts, *fillers, OWL + "onProperty"))
         .groupBy(F.col("s").alias("expr"))
-        .agg(
-            F.max(kind_of).alias("kind"),
-            part(OWL + "onProperty").alias("prop"),
-            F.coalesce(part(*plain), part(OWL + "onClass"), F.lit(OWL_THING)).alias("filler"),
-            F.regexp_extract(part(*counts), r'^"\s*\+?(\d+)', 1).alias("digits"),
-            part(RDF + "first").alias("first"),
-            part(RDF + "rest").alias("rest"),
-        )
-        .withColumn("card", F.when(F.col("digits") != "", F.col("digits").cast("int")))
-        .drop("digits")
+        .agg(*ends)
+        .filter(F.col("kind_0").isNotNull())
     )
+    for name in parts:
+        whole = whole.filter(F.col(f"{name}_0").eqNullSafe(F.col(f"{name}_1")))
+    digits = F.regexp_extract("digits_0", WHOLE_NUMBER, 1)
+    card = F.when(digits != "", digits.cast("int"))
+    restrictions = whole.select(
+        "expr",
+        F.col("kind_0").alias("kind"),
+        F.col("prop_0").alias("prop"),
+        F.coalesce("filler_0", F.lit(OWL_THING)).alias("filler"),
+        card.alias("card"),
+    ).filter(~F.col("kind").endswith("cardinality") | F.col("card").isNotNull())
+    return boolean.dropDuplicates().unionByName(restrictions)
+
+
+def _cells(triples: DataFrame) -> DataFrame:
+    """``(expr, first, rest)``: list cells with one operand and one next cell."""
+    first, rest = _part(RDF + "first"), _part(RDF + "rest")
+    found = (
+        triples.filter(F.col("p").isin(RDF + "first", RDF + "rest"))
+        .groupBy(F.col("s").alias("expr"))
+        .agg(first[0].alias("first"), first[1].alias("_f"), rest[0].alias("rest"), rest[1].alias("_r"))
+    )
+    return found.filter("first = _f and rest = _r").drop("_f", "_r")
 
 
-def _uses(triples: DataFrame, nodes: DataFrame) -> DataFrame:
+def _uses(triples: DataFrame, expressions: DataFrame, cells: DataFrame) -> DataFrame:
     """``(key, expr, side)``: what each expression is stated of.
 
     Class axioms state it of a named class; an expression inside another is stated
@@ -161,9 +194,11 @@ def _uses(triples: DataFrame, nodes: DataFrame) -> DataFrame:
 
     # What a union or intersection points at is a list, not an expression.
     filler = F.when(~F.col("kind").isin("union", "intersection"), F.col("filler"))
-    inner = nodes.select(F.explode(F.array(filler, F.col("first"))).alias("expr"))
+    inner = expressions.select(filler.alias("expr")).unionByName(
+        cells.select(F.col("first").alias("expr"))
+    )
     inner = inner.filter(is_blank("expr")).dropDuplicates()
-    direct = nodes.filter(F.col("kind").isNotNull() & is_named("expr"))
+    direct = expressions.filter(is_named("expr")).select("expr").dropDuplicates()
     return union_all(
         [
             stated(OWL + "equivalentClass", "s", "o", "equivalent"),
@@ -188,18 +223,30 @@ def _operand_rows(
     following = cells.select(
         F.col("cell").alias("rest"), F.col("first").alias("next_first"), F.col("rest").alias("after")
     )
-    # A cell, its operand, and the name of what comes after it (null at the end).
-    linked = cells.join(following, "rest", "left").select(
+    # A cell, its operand, and the name of what comes after it (null at the end). The
+    # last cells, which all point at rdf:nil, do not take part in the join.
+    last = cells.filter(F.col("rest") == NIL).select(
+        "cell",
+        F.col("first").alias("ind1"),
+        F.lit(None).cast("string").alias("ind2"),
+        F.lit(False).alias("cut_short"),
+        F.lit(True).alias("last"),
+    )
+    linked = cells.filter(F.col("rest") != NIL).join(following, "rest", "left").select(
         "cell",
         F.col("first").alias("ind1"),
         F.when(F.col("after") == NIL, F.col("next_first"))
         .when(F.col("after").isNotNull(), F.col("rest"))
         .alias("ind2"),
-        (F.col("after").isNull() & (F.col("rest") != NIL)).alias("cut_short"),
+        F.col("after").isNull().alias("cut_short"),
+        F.lit(False).alias("last"),
     )
     owners = _list_heads(cells, scratch)
-    placed = scratch.cut(linked.join(owners, "cell"))
-    listed = hub_join(placed, heads, ["head"])
+    placed = scratch.cut(linked.unionByName(last).join(owners, "cell"))
+    # A list that never ends runs into a ring; it is left out and reported.
+    ended = placed.filter("last or cut_short").select("head").dropDuplicates()
+    placed = scratch.cut(placed.join(ended, "head", "left_semi"))
+    listed = key_join(placed, heads, ["head"])
     pair = listed.filter(F.col("ind2").isNotNull())
     outer = pair.filter(F.col("cell") == F.col("head")).select("key", "side", "kind", "ind1", "ind2")
     inner = pair.filter(F.col("cell") != F.col("head")).select(
@@ -217,8 +264,9 @@ def _operand_rows(
 def _list_heads(cells: DataFrame, scratch: Scratch) -> DataFrame:
     """``(cell, head)``: the first cell of the list each cell is in.
 
-    Every round replaces a cell's known ancestor by that one's own ancestor, so the
-    number of rounds is the logarithm of the longest list.
+    Every round replaces a cell's known ancestor by that one's own ancestor, so after r
+    rounds all cells within 2**r steps of their first cell are placed. No list is longer
+    than the number of cells, so what is left then runs in a ring.
     """
     before = cells.filter(F.col("rest") != NIL).select(
         F.col("rest").alias("cell"), F.col("cell").alias("head")
@@ -227,19 +275,19 @@ def _list_heads(cells: DataFrame, scratch: Scratch) -> DataFrame:
     settled = scratch.cut(first.select("cell", F.col("cell").alias("head")))
     done = [settled]
     waiting = scratch.cut(before.join(cells.select("cell"), "cell", "left_semi"))
-    for _ in range(MAX_LIST_ROUNDS):
-        if waiting.isEmpty():
-            break
+    reach, longest = 1, waiting.count()
+    while reach <= 2 * longest and not waiting.isEmpty():
+        reach *= 2
         known = union_all(done).withColumn("at_end", F.lit(True)).unionByName(
             waiting.withColumn("at_end", F.lit(False))
         )
         onward = known.select(F.col("cell").alias("head"), F.col("head").alias("above"), "at_end")
-        moved = scratch.cut(hub_join(waiting, onward, ["head"]).select(
+        moved = scratch.cut(key_join(waiting, onward, ["head"]).select(
             "cell", F.col("above").alias("head"), "at_end"
-        ))
+        ).dropDuplicates())
         done.append(moved.filter("at_end").select("cell", "head"))
         waiting = moved.filter(~F.col("at_end")).select("cell", "head")
-    return union_all(done)
+    return union_all(done).dropDuplicates()
 
 
 def _named_columns(rows: DataFrame, table: str) -> DataFrame:

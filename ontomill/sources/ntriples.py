@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The shapes of N-Triples terms.
-IRI = r'^<[^<>"\s]*>$'
-BLANK = r"^_:\S+$"
-LITERAL = r'^".*"(@[A-Za-z]+(-[A-Za-z0-9]+)*|\^\^<[^<>"\s]*>)?$'
-END = r'\s*\.\s*(#[^"]*)?$'
+IRI = r'<[^<>"\s]*>'
+BLANK = r'_:[^\s<>".]+(?:\.+[^\s<>".]+)*'
+LITERAL = rf'"(?:[^"\\]|\\.)*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{IRI})?'
+LINE = rf"(?s)^({IRI}|{BLANK})\s*({IRI})\s*({IRI}|{BLANK}|{LITERAL})\s*\.\s*(?:#.*)?$"
 
 
 def read_ntriples(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
@@ -28,26 +28,13 @@ def parse_ntriples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As ``read_ntriples``, from lines in ``value``; ``scope`` marks blank nodes if given."""
     scope = F.col("scope") if "scope" in lines.columns else F.lit("")
     line = F.trim("value")
-    split = (
-        lines.select(F.col("value"), scope.alias("scope"), line.alias("line"))
-        .filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-        .withColumn("parts", F.split("line", r"\s+", 3))
-    )
-    terms = F.struct(
-        F.get("parts", F.lit(0)).alias("s"),
-        F.get("parts", F.lit(1)).alias("p"),
-        F.regexp_replace(F.get("parts", F.lit(2)), END, "").alias("o"),
-        F.col("line").rlike(END).alias("ended"),
+    stated = lines.select(F.col("value"), scope.alias("scope"), line.alias("line")).filter(
+        (F.col("line") != "") & ~F.col("line").startswith("#")
     )
+    terms = F.struct(*[F.regexp_extract("line", LINE, i + 1).alias(n) for i, n in enumerate("spo")])
     # As a generated row, the terms are worked out once and not again in every filter.
-    parsed = split.select("value", "scope", F.inline(F.array(terms)))
-    good = F.coalesce(
-        F.col("ended")
-        & (F.col("s").rlike(IRI) | F.col("s").rlike(BLANK))
-        & F.col("p").rlike(IRI)
-        & (F.col("o").rlike(IRI) | F.col("o").rlike(BLANK) | F.col("o").rlike(LITERAL)),
-        F.lit(False),
-    )
+    parsed = stated.select("value", "scope", F.inline(F.array(terms)))
+    good = F.col("s") != ""
     triples = parsed.filter(good).select(
         _term("s").alias("s"), _term("p").alias("p"), _term("o").alias("o")
     )

@@ -14,12 +14,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from ontomill.kb import local_frame
-from ontomill.operators.joins import input_bytes
 
-#: ``Scratch.settle`` keeps up to this many rows as literals ...
+#: ``Scratch.settle`` keeps up to this many rows as literals.
 LITERAL_ROWS = 5_000
-#: ... of a result that reads at most this much.
-LITERAL_INPUT_BYTES = 16 * 1024 * 1024
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -73,14 +70,13 @@ class Scratch:
     def settle(self, df: DataFrame) -> tuple[DataFrame, list | None]:
         """``df`` worked out: literal rows, also returned, if few; else a written table.
 
-        Rows come to the driver only when the inputs are small, and at most
-        ``LITERAL_ROWS`` of them.
+        It is written once either way; at most ``LITERAL_ROWS`` rows come to the driver.
         """
-        if input_bytes(df) <= LITERAL_INPUT_BYTES:
-            rows = df.limit(LITERAL_ROWS + 1).collect()
-            if len(rows) <= LITERAL_ROWS:
-                return local_frame(self.spark, rows, df.schema), rows
-        return self.cut(df), None
+        written = self.cut(df)
+        rows = written.limit(LITERAL_ROWS + 1).collect()
+        if len(rows) <= LITERAL_ROWS:
+            return local_frame(self.spark, rows, df.schema), rows
+        return written, None
 
     def write_bucketed(self, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
         """Write ``df`` hashed by ``keys`` into as many buckets as a shuffle has partitions.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontomill.functions.terms import RDF_TYPE
-from ontomill.operators.joins import hub_join, union_all
+from ontomill.operators.joins import key_join, union_all
 from ontomill.operators.stats import number_rows
 from ontomill.schema import OWL, OWL_THING, RDF, RDFS
 from ontomill.sources.ntriples import format_ntriples, parse_ntriples
@@ -48,7 +48,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, doc = _n("order:", "o_orderkey"), _n("doc:", "doc_id")
     price = F.concat(F.lit('"'), F.col("o_totalprice").cast("string"), F.lit('"'))
     first_copy = documents.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("first"))
-    copies = hub_join(documents.select("doc_id", F.md5("text").alias("h")), first_copy, ["h"])
+    copies = key_join(documents.select("doc_id", F.md5("text").alias("h")), first_copy, ["h"])
     copies = copies.filter(F.col("doc_id") != F.col("first"))
     return union_all(
         [

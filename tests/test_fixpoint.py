@@ -133,9 +133,6 @@ def test_large_ontologies_and_hubs_take_the_other_paths(spark, monkeypatch):
     monkeypatch.setattr(fixpoint, "MAX_CLOSED_EDGES", 2)
     monkeypatch.setattr(fixpoint, "MAX_KEY_VALUES", 0)
     monkeypatch.setattr("ontomill.sources.scratch.LITERAL_ROWS", 0)
-    monkeypatch.setattr(joins, "HUB_BYTES", 0)
-    monkeypatch.setattr(joins, "HUB_ROWS", 2)
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
     tables = _sample(1)
     closed = materialise(KnowledgeBase.from_rows(spark, **tables)).kb
     ci, pi, _ = _brute(tables)

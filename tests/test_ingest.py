@@ -231,16 +231,56 @@ def test_long_lists_and_rings_end(spark):
     assert len(pairs) == n - 1
     assert (":A", ":k00", "_:c01") in pairs and ("_:c38", ":k38", ":k39") in pairs
     # A list that runs in a ring has no first cell; it yields nothing and is reported.
-    from ontomill.sources import class_expressions
-
-    old, class_expressions.MAX_LIST_ROUNDS = class_expressions.MAX_LIST_ROUNDS, 3
-    try:
-        head = [(E + "R", OWL + "equivalentClass", "_:q"), ("_:q", OWL + "unionOf", "_:r1")]
-        found = decompose(spark.createDataFrame(ring + head, "s string, p string, o string"))
-        assert rows(found.kb["equivalent_to_union"]) == set()
-        assert short(rows(found.rejects)) == {(":R", "_:q")}
-    finally:
-        class_expressions.MAX_LIST_ROUNDS = old
+    head = [(E + "R", OWL + "equivalentClass", "_:q"), ("_:q", OWL + "unionOf", "_:r1")]
+    found = decompose(spark.createDataFrame(ring + head, "s string, p string, o string"))
+    assert rows(found.kb["equivalent_to_union"]) == set()
+    assert short(rows(found.rejects)) == {(":R", "_:q")}
+
+
+def test_a_ring_behind_other_cells_is_rejected(spark):
+    cells = {"_:c1": "_:c2", "_:c2": "_:c3", "_:c3": "_:c2"}
+    triples = [(c, RDF + "rest", n) for c, n in cells.items()]
+    triples += [(c, RDF + "first", E + c[2:].upper()) for c in cells]
+    triples += [(E + "R", OWL + "equivalentClass", "_:q"), ("_:q", OWL + "unionOf", "_:c1")]
+    found = decompose(spark.createDataFrame(triples, "s string, p string, o string"))
+    assert rows(found.kb["equivalent_to_union"]) == set()
+    assert rows(found.rejects) == {(E + "R", "_:q")}
+
+
+def test_every_expression_of_a_class_is_kept(spark):
+    """Two unions and two complements of one class; a node with two fillers is rejected."""
+    triples = [(E + "A", OWL + "complementOf", E + c) for c in ("X", "Y")]
+    for k, (one, other) in enumerate([("B", "C"), ("D", "F")]):
+        triples += [
+            (E + "A", OWL + "unionOf", f"_:l{k}a"),
+            (f"_:l{k}a", RDF + "first", E + one),
+            (f"_:l{k}a", RDF + "rest", f"_:l{k}b"),
+            (f"_:l{k}b", RDF + "first", E + other),
+            (f"_:l{k}b", RDF + "rest", RDF + "nil"),
+        ]
+    triples += [
+        (E + "Z", OWL + "equivalentClass", "_:z"),
+        ("_:z", OWL + "onProperty", E + "p"),
+        ("_:z", OWL + "someValuesFrom", E + "G"),
+        ("_:z", OWL + "someValuesFrom", E + "H"),
+        (E + "N", OWL + "equivalentClass", "_:n"),
+        ("_:n", OWL + "onProperty", E + "p"),
+        ("_:n", OWL + "minCardinality", '"1.5"'),
+    ]
+    found = decompose(spark.createDataFrame(triples, "s string, p string, o string"))
+    unions = {(E + "A", E + "B", E + "C"), (E + "A", E + "D", E + "F")}
+    assert rows(found.kb["equivalent_to_union"]) == unions
+    assert rows(found.kb["complement_of"]) == {(E + "A", E + "X"), (E + "A", E + "Y")}
+    assert rows(found.rejects) == {(E + "Z", "_:z"), (E + "N", "_:n")}
+
+
+def test_ntriples_without_white_space_and_with_quoted_comments(spark):
+    from ontomill.sources.ntriples import parse_ntriples
+
+    lines = ["<a:s><a:p><a:o>.", '<a:s> <a:p> <a:o2> . # say "x"', '<a:s> <a:p> "a \\"b\\" . c"@en .', "<a:s> <a:p> ."]
+    triples, rejects = parse_ntriples(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert triples.count() == 3 and {r["o"] for r in triples.collect()} >= {"a:o", "a:o2"}
+    assert [r["line"] for r in rejects.collect()] == ["<a:s> <a:p> ."]
 
 
 def _brute_direct(steps: set) -> set:

@@ -1,4 +1,4 @@
-"""Hub joins give the plain join's rows, with every key treated as a hub."""
+"""Joins, insert-if-new, closures and ordinals."""
 
 import itertools
 
@@ -7,14 +7,7 @@ from conftest import row_list, rows
 
 from ontomill.operators import joins
 from ontomill.operators.closure import same_as_closure, same_as_groups, transitive_closure
-from ontomill.operators.stats import ordinals, ordinals_in_pieces
-
-
-@pytest.fixture
-def tiny_hubs(monkeypatch):
-    monkeypatch.setattr(joins, "HUB_BYTES", 0)
-    monkeypatch.setattr(joins, "HUB_ROWS", 7)
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+from ontomill.operators.stats import number_rows, ordinals
 
 
 def _sides(spark):
@@ -27,16 +20,39 @@ def _sides(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
-def test_hub_join_equals_join(spark, tiny_hubs, how):
-    left, right = _sides(spark)
-    assert row_list(joins.hub_join(left, right, ["k"], how)) == row_list(left.join(right, "k", how))
-
-
-def test_hub_rows_are_dealt_out(spark, tiny_hubs):
+def test_key_join(spark, how):
     left, right = _sides(spark)
-    joined = joins.hub_join(left, right, ["k"])
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "_left_slot" in plan and "_right_slot" in plan
+    assert row_list(joins.key_join(left, right, ["k"], how)) == row_list(left.join(right, "k", how))
+
+
+def test_joins_read_each_input_once(spark):
+    """A base table is scanned no more often when nothing is small enough to broadcast."""
+    from ontomill.operators.bgp import bgp
+    from ontomill.operators.rules import RULES
+    from ontomill.plans.catalogue import PATTERNS
+    from ontomill.sources.warehouse import warehouse_kb
+
+    def scans() -> dict[str, int]:
+        kb = warehouse_kb(spark, "/root/testdata/sf0.001")
+        patterns, answer, _ = PATTERNS["bgp_q4"]
+        plans = {
+            "same_as_prop_individual": RULES["same_as_prop_individual"](kb),
+            "subclass_of_all": RULES["subclass_of_all"](kb),
+            "bgp_q4": bgp(kb, patterns, [answer]),
+        }
+        return {
+            name: found._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+            for name, found in plans.items()
+        }
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    small, before = scans(), spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        assert scans() == small
+    finally:
+        spark.conf.set(name, before)
+    assert all(n > 0 for n in small.values())
 
 
 def test_insert_new(spark):
@@ -58,10 +74,7 @@ def _brute_closure(edges):
         closed |= more
 
 
-@pytest.mark.parametrize("hubs", [False, True])
-def test_transitive_closure(spark, request, hubs):
-    if hubs:
-        request.getfixturevalue("tiny_hubs")
+def test_transitive_closure(spark):
     edges = [(f"n{i}", f"n{i + 1}") for i in range(6)] + [("n3", "n1"), ("x", "y")]
     df = spark.createDataFrame(edges, "a string, b string")
     assert rows(transitive_closure(df, "a", "b")) == _brute_closure(edges)
@@ -73,10 +86,7 @@ def _brute_groups(edges):
     return {(n, min(m for a, m in linked if a == n)) for n in nodes}
 
 
-@pytest.mark.parametrize("hubs", [False, True])
-def test_same_as_groups(spark, request, hubs):
-    if hubs:
-        request.getfixturevalue("tiny_hubs")
+def test_same_as_groups(spark):
     edges = [(f"c{i:02}", f"c{i + 1:02}") for i in range(12)]
     edges += [("s0", f"s{i}") for i in range(1, 10)] + [("z", "s4"), ("p", "q"), ("q", "p")]
     df = spark.createDataFrame(edges, "ind string, same string")
@@ -94,5 +104,5 @@ def test_ordinals_in_pieces(spark):
     df = spark.createDataFrame(members, "cls string, individual string").repartition(6)
     expected = [("cold", "i0", 1), ("cold", "i1", 2)]
     expected += [("hot", f"i{n:04}", n + 1) for n in range(500)]
-    assert row_list(ordinals_in_pieces(df, "cls", "individual")) == expected
+    assert row_list(number_rows(df, "cls", "individual")) == expected
     assert row_list(ordinals(df, "cls", "individual")) == expected
