@@ -219,7 +219,7 @@ def _group_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         settled = batch.filter(pa.compute.is_valid(batch.column(3)))
         if settled.num_rows:
-            yield settled.select(["doc", "places"])
+            yield settled.select(["doc", "place", "places"])
         rows = batch.filter(pa.compute.is_null(batch.column(3)))
         if not rows.num_rows:
             continue
@@ -231,19 +231,18 @@ def _group_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         smallest = head[np.cumsum(first) - 1]
         window, least = windows[-1], smallest[-1]
         later = docs > smallest
-        found = list(_by_doc(docs[later], places[later]))
-        if found:
-            yield pa.record_batch(
-                [
-                    pa.array([doc for doc, _ in found], pa.int64()),
-                    pa.array([data for _, data in found], pa.binary()),
-                ],
-                names=["doc", "places"],
-            )
+        yield pa.record_batch(
+            [
+                pa.array(docs[later]),
+                pa.array(places[later]),
+                pa.nulls(int(later.sum()), pa.binary()),
+            ],
+            names=["doc", "place", "places"],
+        )
 
 
 def repeated_places(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc, places)``: packed places where a repeated window starts, in parts."""
+    """``(doc, place, places)``: where repeated windows start, one by one or packed."""
     length = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = math.ceil(math.log2(2 * length / CHARS_PER_WORD + 1)) if length else 0
     bits = min(MAX_BITS, max(MIN_BITS, bits))
@@ -253,7 +252,7 @@ def repeated_places(docs: DataFrame, size: int) -> DataFrame:
         docs.mapInArrow(_settled_and_open(size, bits, merged), _FIRST)
         .repartition(parts, "window")
         .sortWithinPartitions("window", "doc")
-        .mapInArrow(_group_windows, "doc long, places binary")
+        .mapInArrow(_group_windows, "doc long, place int, places binary")
     )
 
 
@@ -261,11 +260,12 @@ def _removal(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             n_words, n_removed, kept = [], [], []
-            for text, parts in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+            texts, packed = part.column(1).to_pylist(), part.column(3).to_pylist()
+            for text, single, parts in zip(texts, part.column(2), packed):
                 words = words_of(text)
                 gone = np.zeros(len(words) + 1, np.int32)
-                for data in parts or ():
-                    places = unpack_gaps(data)
+                alone = [single.values.to_numpy()] if single.is_valid else []
+                for places in (*alone, *map(unpack_gaps, parts or ())):
                     places = places[places + size <= len(words)]
                     np.add.at(gone, places, 1)
                     np.add.at(gone, places + size, -1)
@@ -300,9 +300,11 @@ def remove_repeated(docs: DataFrame, size: int = 13) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession)
     found = scratch.cut(repeated_places(own, size))
-    gathered = found.groupBy("doc").agg(F.collect_list("places").alias("places"))
+    gathered = found.groupBy("doc").agg(
+        F.collect_list("place").alias("single"), F.collect_list("places").alias("packed")
+    )
     return (
         own.join(gathered.withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-        .select("doc_id", "text", "places")
+        .select("doc_id", "text", "single", "packed")
         .mapInArrow(_removal(size), "doc_id long, n_words long, n_removed long, text string")
     )
