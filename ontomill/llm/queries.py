@@ -137,32 +137,32 @@ SQL = {
     "op4_preferences": r"""
         with t as (
             select conv_id // 2 as pair_id, conv_id % 2 = 0 as even,
-                   row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as at,
+                   row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as at_turn,
                    coalesce(role, '') as role, coalesce(text, '') as text
             from conversations where conv_id is not null),
         p as (select distinct pair_id from t),
         b as (
-            select coalesce(c.pair_id, r.pair_id) as pair_id, coalesce(c.at, r.at) as at,
+            select coalesce(c.pair_id, r.pair_id) as pair_id, coalesce(c.at_turn, r.at_turn) as at_turn,
                    not coalesce(c.role = r.role and c.text = r.text, false) as differs
             from (select * from t where even) c full join (select * from t where not even) r
-              on c.pair_id = r.pair_id and c.at = r.at),
-        f as (select pair_id, min(case when differs then at end) as first, max(at) as last from b group by pair_id),
-        n as (select pair_id, coalesce(first - 1, last) as n_prompt_turns from f),
+              on c.pair_id = r.pair_id and c.at_turn = r.at_turn),
+        f as (select pair_id, min(case when differs then at_turn end) as first_diff, max(at_turn) as last_turn from b group by pair_id),
+        n as (select pair_id, coalesce(first_diff - 1, last_turn) as n_prompt_turns from f),
         w as (select t.*, n_prompt_turns, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as line from t join n using (pair_id))
         select pair_id, max(n_prompt_turns) as n_prompt_turns,
-               coalesce(string_agg(line, '' order by at) filter (even and at <= n_prompt_turns), '') as prompt,
-               coalesce(string_agg(line, '' order by at) filter (even and at > n_prompt_turns), '') as chosen,
-               coalesce(string_agg(line, '' order by at) filter (not even and at > n_prompt_turns), '') as rejected,
-               cast(coalesce(sum(length(text) + 8) filter (even and at > n_prompt_turns and role = 'assistant'), 0) as bigint) as chosen_masked_chars,
-               cast(coalesce(sum(length(text) + 8) filter (not even and at > n_prompt_turns and role = 'assistant'), 0) as bigint) as rejected_masked_chars
+               coalesce(string_agg(line, '' order by at_turn) filter (even and at_turn <= n_prompt_turns), '') as prompt,
+               coalesce(string_agg(line, '' order by at_turn) filter (even and at_turn > n_prompt_turns), '') as chosen,
+               coalesce(string_agg(line, '' order by at_turn) filter (not even and at_turn > n_prompt_turns), '') as rejected,
+               cast(coalesce(sum(length(text) + 8) filter (even and at_turn > n_prompt_turns and role = 'assistant'), 0) as bigint) as chosen_masked_chars,
+               cast(coalesce(sum(length(text) + 8) filter (not even and at_turn > n_prompt_turns and role = 'assistant'), 0) as bigint) as rejected_masked_chars
         from w group by pair_id""",
     "op8_topk": r"""
-        with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
                    from embeddings
                    where vec_id is not null and embedding is not null
-                     and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (select q.vec_id as query_id, c.vec_id,
-                     cast(coalesce(list_sum(list_transform(list_zip(q.e, c.e), z -> coalesce(z[1] * z[2], 0))), 0) as bigint) as score
+                     cast(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: coalesce(z[1] * z[2], 0))), 0) as bigint) as score
               from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
         from s qualify rank <= 5""",
