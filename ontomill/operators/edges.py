@@ -55,8 +55,13 @@ def contraposition(kb: KnowledgeBase) -> DataFrame:
 
 
 def disjointness(kb: KnowledgeBase) -> DataFrame:
+    """Pairs as stated; of a list of classes, only those with a negation meet the others."""
     negated = kb["complement_of"].select(F.col("key").alias("ind1"), F.col("complement").alias("dst"))
-    return kb["disjoint_with"].join(negated, "ind1").select(F.col("cls").alias("src"), "dst")
+    pairs = kb["disjoint_with"].join(negated, "ind1").select(F.col("cls").alias("src"), "dst")
+    members = kb["disjoint_members"]
+    against = members.select("axiom", F.col("cls").alias("ind1")).join(negated, "ind1")
+    listed = members.join(against, "axiom").filter(F.col("cls") != F.col("ind1"))
+    return pairs.unionByName(listed.select(F.col("cls").alias("src"), "dst"))
 
 
 def subclass(kb: KnowledgeBase) -> DataFrame:

@@ -97,7 +97,7 @@ _class_rule("complement_of", ("complement_of",), edges.double_negation)
 _class_rule(
     "complement_of_second", ("complement_of", "subclass_of_class"), edges.contraposition
 )
-_class_rule("disjoint_with", ("disjoint_with", "complement_of"), edges.disjointness)
+_class_rule("disjoint_with", ("complement_of",), edges.disjointness)
 _end_rule("object_property_domain", ("op_domain",), edges.property_domain)
 _link_rule("object_property_inverse_of", ("inverse_of",), edges.inverse_property)
 _end_rule("object_property_range", ("op_range",), edges.property_range)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ def kb_from_triples(individuals: DataFrame, ontology: DataFrame) -> BuiltKB:
     scratch = Scratch(spark)
     individuals, ontology = scratch.cut(individuals), scratch.cut(ontology)
     parts = decompose(ontology)
+    disjoint = cache(lambda: axioms.disjoint_lists(ontology))
     stated = KnowledgeBase(
         spark,
         {
@@ -56,6 +58,7 @@ def kb_from_triples(individuals: DataFrame, ontology: DataFrame) -> BuiltKB:
             "functional_property": axioms.functional_properties(ontology),
             "inverse_functional_property": axioms.inverse_functional_properties(ontology),
             "disjoint_with": axioms.disjoint_classes(ontology),
+            "disjoint_members": lambda: disjoint()[0],
             "equivalent_to_class": axioms.equivalent_classes(ontology),
             "subclass_of_class": axioms.without_top(axioms.subclasses(ontology), "supclass"),
             "op_domain": axioms.property_domains(ontology),
@@ -76,4 +79,4 @@ def kb_from_triples(individuals: DataFrame, ontology: DataFrame) -> BuiltKB:
         op_range=hierarchy.inherit_range(stated, properties),
     )
     no_lines = spark.range(0).select(F.lit(None).cast("string").alias("line"))
-    return BuiltKB(kb, no_lines, parts.rejects)
+    return BuiltKB(kb, no_lines, parts.rejects.unionByName(disjoint()[1]).dropDuplicates())

@@ -17,7 +17,7 @@ from ontomill.plans.fixpoint import materialise
 from ontomill.schema import FACT_TABLES
 from ontomill.sources import axioms, warehouse_ontology
 from ontomill.sources.class_expressions import decompose
-from ontomill.sources.warehouse import warehouse_kb
+from ontomill.sources.warehouse import table, warehouse_kb
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,8 +107,20 @@ def _loader(load: Callable[[DataFrame], DataFrame], *sources) -> Query:
     return run
 
 
-def _expression(table: str) -> Query:
-    return _loader(lambda t: decompose(t).kb[table], warehouse_ontology.expressions)
+def _expression(table: str, source=warehouse_ontology.expressions) -> Query:
+    return _loader(lambda t: decompose(t).kb[table], source)
+
+
+def _disjoint_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The disjointness rule over lists: all states, and all priorities, of orders."""
+    kb = warehouse_kb(spark, sf_dir)
+    classes = table(spark, sf_dir, "orders").selectExpr(
+        "inline(array(struct('status' AS axiom, concat('Status_', o_orderstatus) AS cls),"
+        " struct('priority' AS axiom, concat('Prio_', substr(o_orderpriority, 1, 1)) AS cls)))"
+    )
+    members = classes.dropDuplicates()
+    negated = members.selectExpr("cls AS key", "concat('Outside_', cls) AS complement")
+    return RULES["disjoint_with"](kb.replace(disjoint_members=members, complement_of=negated))
 
 
 def told_hierarchy(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
@@ -167,6 +179,9 @@ def _loaders() -> dict[str, Query]:
         "hierarchy_direct": lambda spark, d: hierarchy.direct_superclasses(
             told_hierarchy(spark, d)
         ),
+        "load_disjoint_members": _loader(lambda t: axioms.disjoint_lists(t)[0], o.expressions),
+        "load_expression_domain": _loader(axioms.property_domains, o.more_expressions),
+        "load_expression_disjoint": _loader(axioms.disjoint_classes, o.more_expressions),
         "expression_rejects": _loader(lambda t: decompose(t).rejects, o.expressions),
         "agg_axiom_counts": _loader(
             stats.axiom_counts, o.facts, o.hierarchy, o.properties, o.expressions
@@ -184,7 +199,24 @@ def _loaders() -> dict[str, Query]:
         "equivalent_to_class",
         "subclass_of_class",
     )
-    return {**plain, **{f"expression_{t}": _expression(t) for t in wanted}}
+    further = (
+        "equivalent_to_some",
+        "equivalent_to_min_cardinality",
+        "subclass_of_all",
+        "subclass_of_union",
+        "subclass_of_complement",
+        "subclass_of_max_cardinality",
+    )
+    several = {
+        "expression_several_unions": _expression("equivalent_to_union", o.more_expressions),
+        "expression_several_complements": _expression("complement_of", o.more_expressions),
+    }
+    return {
+        **plain,
+        **{f"expression_{t}": _expression(t) for t in wanted},
+        **{f"expression_{t}": _expression(t, o.more_expressions) for t in further},
+        **several,
+    }
 
 
 def all_queries() -> dict[str, Query]:
@@ -192,6 +224,8 @@ def all_queries() -> dict[str, Query]:
         "kb_class_individuals": _table("class_individuals"),
         "kb_prop_individuals": _table("prop_individuals"),
         **{f"rule_{name}": _rule(name) for name in RULES},
+        "rule_disjoint_lists": _disjoint_lists,
+        "same_as_groups": lambda s, d: same_as_groups(_with_copies_equal(s, d)["same_as"]),
         **{
             f"fix_{name}": _materialised(table)
             for name, table in zip(

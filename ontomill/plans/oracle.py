@@ -303,10 +303,33 @@ SELECT s AS ind, o AS same FROM e UNION SELECT o, s FROM e""",
 WHERE s_acctbal > 0""",
     "load_inverse_functional_property": """SELECT DISTINCT 'supplies:' || s_suppkey AS prop
 FROM supplier""",
-    "load_disjoint_with": f"""WITH {_LINES}
-SELECT 'part:' || p_partkey AS cls, 'size:' || p_size AS ind1 FROM part
-UNION SELECT a.part, b.part FROM lines a JOIN lines b ON b.k = a.k AND a.line = 1 AND b.line = 2
-JOIN orders ON o_orderkey = a.k WHERE o_orderstatus = 'P'""",
+    "load_disjoint_with": """SELECT DISTINCT 'part:' || p_partkey AS cls, 'size:' || p_size AS ind1
+FROM part""",
+    "load_disjoint_members": """SELECT DISTINCT '_:list' || l_orderkey AS axiom, 'part:' || l_partkey AS cls
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'""",
+    "load_expression_domain": """SELECT DISTINCT '_:site' || s_suppkey AS "domain",
+  'supplies:' || s_suppkey AS property FROM supplier""",
+    "load_expression_disjoint": """SELECT DISTINCT 'part:' || p_partkey AS cls, '_:no' || p_partkey AS ind1
+FROM part""",
+    "expression_equivalent_to_some": """SELECT DISTINCT 'cust:' || c_custkey AS cls, 'inNation' AS prop,
+  'nation:' || c_nationkey AS "range" FROM customer""",
+    "expression_equivalent_to_min_cardinality": f"""SELECT DISTINCT 'part:' || p_partkey AS cls,
+  'soldBy' AS prop, p_size AS card, {_THING} AS clss FROM part""",
+    "expression_subclass_of_all": """SELECT DISTINCT 'supp:' || s_suppkey AS cls, 'sellsTo' AS prop,
+  'nation:' || s_nationkey AS "range" FROM supplier""",
+    "expression_subclass_of_union": """SELECT DISTINCT 'nation:' || n_nationkey AS cls,
+  'region:' || n_regionkey AS ind1, 'land:' || n_nationkey AS ind2 FROM nation""",
+    "expression_subclass_of_complement": """SELECT DISTINCT 'supp:' || s_suppkey AS key,
+  'nation:' || s_nationkey AS complement FROM supplier""",
+    "expression_subclass_of_max_cardinality": f"""SELECT DISTINCT 'part:' || p_partkey AS cls,
+  'madeOf' AS prop, p_size AS card, {_THING} AS clss FROM part""",
+    "expression_several_unions": """SELECT 'vendor:' || s_suppkey AS cls, 'supp:' || s_suppkey AS ind1,
+  'nation:' || s_nationkey AS ind2 FROM supplier
+UNION SELECT 'vendor:' || s_suppkey, 'supp:' || s_suppkey, 'agent:' || s_suppkey FROM supplier
+UNION SELECT '_:site' || s_suppkey, 'supp:' || s_suppkey, 'vendor:' || s_suppkey FROM supplier""",
+    "expression_several_complements": """SELECT 'vendor:' || s_suppkey AS key,
+  'buyer:' || s_suppkey AS complement FROM supplier
+UNION SELECT '_:no' || p_partkey, 'type:' || p_type FROM part""",
     "load_equivalent_to_class": """SELECT 'supp:' || s_suppkey AS cls, 'vendor:' || s_suppkey AS equiv
 FROM supplier UNION SELECT 'vendor:' || s_suppkey, 'supp:' || s_suppkey FROM supplier""",
     "load_subclass_of_class": """SELECT 'nation:' || n_nationkey AS cls,
@@ -405,9 +428,21 @@ def all_sql() -> dict[str, str]:
         "kb_class_individuals": _with(_base(), "SELECT cls, individual FROM ci0"),
         "kb_prop_individuals": _with(_base(), 'SELECT prop, "domain", "range" FROM pi0'),
         **{f"rule_{rule}": _rule_sql(rule) for rule in RULES},
-        "rule_same_as_transitive_closure": "WITH RECURSIVE "
-        + ",\n".join(_copies_equal())
-        + GROUPS,
+        "rule_disjoint_lists": _with(
+            [
+                *_base(),
+                """m(axiom, cls) AS (SELECT 'status', 'Status_' || o_orderstatus FROM orders
+  UNION SELECT 'priority', 'Prio_' || substr(o_orderpriority, 1, 1) FROM orders)""",
+            ],
+            """SELECT 'Outside_' || m.cls AS cls, i.individual
+FROM disjoint_with d JOIN m ON m.cls = d.ind1 JOIN ci0 i ON i.cls = d.cls
+UNION SELECT 'Outside_' || b.cls, i.individual FROM m a JOIN m b ON a.axiom = b.axiom AND a.cls <> b.cls
+JOIN ci0 i ON i.cls = a.cls""",
+        ),
+        **{
+            name: "WITH RECURSIVE " + ",\n".join(_copies_equal()) + GROUPS
+            for name in ("rule_same_as_transitive_closure", "same_as_groups")
+        },
         "fix_class_individuals": _fix_sql("ci"),
         "fix_prop_individuals": _fix_sql("pi"),
         "fix_same_as": _fix_sql("sa"),

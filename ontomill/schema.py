@@ -48,6 +48,8 @@ TABLES: dict[str, T.StructType] = {
     "equivalent_to_min_cardinality": _table("cls", "prop", "card", "clss"),
     "complement_of": _table("key", "complement"),
     "disjoint_with": _table("cls", "ind1"),
+    # all classes of one axiom are disjoint with each other
+    "disjoint_members": _table("axiom", "cls"),
     # property axioms
     "functional_property": _table("prop"),
     "inverse_functional_property": _table("prop"),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ontomill.functions.terms import RDF_TYPE, is_blank, is_named
 from ontomill.operators.joins import key_join
 from ontomill.schema import OWL, OWL_THING, RDF, RDFS
+from ontomill.sources.class_expressions import NIL, list_cells, list_heads
+from ontomill.sources.scratch import Scratch
 
 # Types that only object properties have.
 OBJECT_PROPERTY_TYPES = (
@@ -25,9 +27,17 @@ def _typed(triples: DataFrame, *types: str) -> DataFrame:
     return triples.filter((F.col("p") == RDF_TYPE) & F.col("o").isin(*types))
 
 
-def _links(triples: DataFrame, predicate: str, subject: str, object_: str) -> DataFrame:
-    """Distinct named ends of ``predicate`` under the given column names."""
-    rows = triples.filter((F.col("p") == predicate) & is_named("s") & is_named("o"))
+def _links(
+    triples: DataFrame, predicate: str, subject: str, object_: str, blank: str = ""
+) -> DataFrame:
+    """Distinct ends of ``predicate`` under the given column names.
+
+    They are named, or blank nodes where ``blank`` has an "s" or an "o": class
+    expressions, which ``class_expressions`` makes classes of their own.
+    """
+    rows = triples.filter(F.col("p") == predicate)
+    for end in ("s", "o"):
+        rows = rows.filter(is_named(end) | is_blank(end) if end in blank else is_named(end))
     return rows.select(F.col("s").alias(subject), F.col("o").alias(object_)).dropDuplicates()
 
 
@@ -75,30 +85,46 @@ def _flag(triples: DataFrame, trait: str) -> DataFrame:
 
 
 def disjoint_classes(triples: DataFrame) -> DataFrame:
-    """disjoint_with: the first two operands of each disjointness axiom."""
-    stated = _links(triples, OWL + "disjointWith", "cls", "ind1")
+    """disjoint_with: pairs stated as such; expressions may be on either side."""
+    return _links(triples, OWL + "disjointWith", "cls", "ind1", blank="so")
+
+
+def disjoint_lists(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """disjoint_members: all operands of each disjointness axiom, and unusable axioms.
+
+    A list of n classes is n rows. A list that does not come to its end is left out as a
+    whole and listed as ``(key, expr)``: the axiom and the first cell.
+    """
+    scratch = Scratch(triples.sparkSession)
     axioms = _typed(triples, OWL + "AllDisjointClasses").select("s")
     heads = triples.filter(F.col("p") == OWL + "members").join(axioms, "s", "left_semi")
-    heads = heads.select(F.col("o").alias("cell"))
-    first = triples.filter((F.col("p") == RDF + "first") & is_named("o"))
-    rest = triples.filter(F.col("p") == RDF + "rest")
-    listed = (
-        heads.join(first.select(F.col("s").alias("cell"), F.col("o").alias("cls")), "cell")
-        .join(rest.select(F.col("s").alias("cell"), F.col("o").alias("next")), "cell")
-        .join(first.select(F.col("s").alias("next"), F.col("o").alias("ind1")), "next")
-        .select("cls", "ind1")
+    heads = heads.select(F.col("s").alias("axiom"), F.col("o").alias("head")).dropDuplicates()
+    cells = scratch.cut(list_cells(triples).withColumnRenamed("expr", "cell"))
+    placed = scratch.cut(cells.join(list_heads(cells, scratch), "cell"))
+    ended = scratch.cut(placed.filter(F.col("rest") == NIL).select("head").dropDuplicates())
+    whole = heads.join(ended, "head", "left_semi")
+    operands = placed.filter(is_named("first") | is_blank("first")).join(whole, "head")
+    broken = heads.join(ended, "head", "left_anti").filter(F.col("head") != NIL)
+    return (
+        operands.select("axiom", F.col("first").alias("cls")).dropDuplicates(),
+        broken.select(F.col("axiom").alias("key"), F.col("head").alias("expr")),
     )
-    return stated.unionByName(listed).dropDuplicates()
 
 
 def equivalent_classes(triples: DataFrame) -> DataFrame:
-    """equivalent_to_class between named classes, both ways round."""
-    return _both_ways(_links(triples, OWL + "equivalentClass", "cls", "equiv"))
+    """equivalent_to_class, both ways round: between named classes, or two expressions."""
+    pairs = _links(triples, OWL + "equivalentClass", "cls", "equiv", blank="so")
+    return _both_ways(pairs.filter(is_blank("cls") == is_blank("equiv")))
 
 
 def subclasses(triples: DataFrame) -> DataFrame:
-    """subclass_of_class between named classes. Below owl:Thing says nothing."""
-    return _links(triples, RDFS + "subClassOf", "cls", "supclass")
+    """subclass_of_class between named classes, or of an expression.
+
+    Expressions above a named class have tables of their own. Below owl:Thing says
+    nothing.
+    """
+    pairs = _links(triples, RDFS + "subClassOf", "cls", "supclass", blank="so")
+    return pairs.filter(is_blank("cls") | ~is_blank("supclass"))
 
 
 def property_domains(triples: DataFrame) -> DataFrame:
@@ -112,7 +138,7 @@ def property_ranges(triples: DataFrame) -> DataFrame:
 
 
 def _property_class(triples: DataFrame, side: str) -> DataFrame:
-    stated = _links(triples, RDFS + side, "property", side).select(side, "property")
+    stated = _links(triples, RDFS + side, "property", side, blank="o").select(side, "property")
     properties = object_properties(triples).withColumnRenamed("prop", "property")
     return stated.join(properties, "property", "left_semi").select(side, "property")
 
@@ -130,9 +156,17 @@ def inverse_properties(triples: DataFrame) -> DataFrame:
 
 
 def super_properties(triples: DataFrame) -> DataFrame:
-    """sub_property_of(prop, super_prop) for object properties."""
-    stated = _links(triples, RDFS + "subPropertyOf", "prop", "super_prop")
-    return stated.join(object_properties(triples), "prop", "left_semi")
+    """sub_property_of(prop, super_prop) for object properties and inverses of such."""
+    stated = _links(triples, RDFS + "subPropertyOf", "prop", "super_prop", blank="so")
+    inverses = triples.filter((F.col("p") == OWL + "inverseOf") & is_blank("s"))
+    inverses = inverses.select(F.col("s").alias("prop")).dropDuplicates()
+    below = stated.join(object_properties(triples).unionByName(inverses), "prop", "left_semi")
+    above = inverses.withColumnRenamed("prop", "super_prop")
+    return below.filter(~is_blank("super_prop")).unionByName(
+        below.filter(is_blank("super_prop")).join(above, "super_prop", "left_semi").select(
+            "prop", "super_prop"
+        )
+    )
 
 
 def equivalent_properties(triples: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def decompose(triples: DataFrame) -> Decomposed:
     spark = triples.sparkSession
     scratch = Scratch(spark)
     expressions = scratch.cut(_expressions(triples))
-    nodes = scratch.cut(_cells(triples))
+    nodes = scratch.cut(list_cells(triples))
     uses = scratch.cut(_uses(triples, expressions, nodes))
     stated = scratch.cut(key_join(uses, expressions, ["expr"]))
 
@@ -168,7 +168,7 @@ def _expressions(triples: DataFrame) -> DataFrame:
     return boolean.dropDuplicates().unionByName(restrictions)
 
 
-def _cells(triples: DataFrame) -> DataFrame:
+def list_cells(triples: DataFrame) -> DataFrame:
     """``(expr, first, rest)``: list cells with one operand and one next cell."""
     first, rest = _part(RDF + "first"), _part(RDF + "rest")
     found = (
@@ -183,7 +183,8 @@ def _uses(triples: DataFrame, expressions: DataFrame, cells: DataFrame) -> DataF
     """``(key, expr, side)``: what each expression is stated of.
 
     Class axioms state it of a named class; an expression inside another is stated
-    of itself, and one written directly on a named class is stated of that class.
+    of itself, and one written directly on a named class is stated of that class. So is
+    one that is a domain or range, disjoint with something, or itself below a class.
     """
 
     def stated(predicate: str, cls: str, expr: str, side: str) -> DataFrame:
@@ -192,6 +193,13 @@ def _uses(triples: DataFrame, expressions: DataFrame, cells: DataFrame) -> DataF
             F.col(cls).alias("key"), F.col(expr).alias("expr"), F.lit(side).alias("side")
         )
 
+    def alone(end: str, other: Column, *predicates: str) -> DataFrame:
+        rows = triples.filter(F.col("p").isin(*predicates) & is_blank(end) & other)
+        expr = F.col(end)
+        return rows.select(expr.alias("key"), expr.alias("expr"), F.lit("equivalent").alias("side"))
+
+    anything = F.lit(True)
+    below, disjoint, same = RDFS + "subClassOf", OWL + "disjointWith", OWL + "equivalentClass"
     # What a union or intersection points at is a list, not an expression.
     filler = F.when(~F.col("kind").isin("union", "intersection"), F.col("filler"))
     inner = expressions.select(filler.alias("expr")).unionByName(
@@ -206,6 +214,10 @@ def _uses(triples: DataFrame, expressions: DataFrame, cells: DataFrame) -> DataF
             stated(RDFS + "subClassOf", "s", "o", "subclass"),
             inner.select(F.col("expr").alias("key"), "expr", F.lit("equivalent").alias("side")),
             direct.select(F.col("expr").alias("key"), "expr", F.lit("equivalent").alias("side")),
+            alone("o", anything, RDFS + "domain", RDFS + "range", disjoint),
+            alone("s", anything, disjoint, below),
+            alone("o", is_blank("s"), below, same),
+            alone("s", is_blank("o"), same),
         ]
     ).dropDuplicates()
 
@@ -241,7 +253,7 @@ def _operand_rows(
         F.col("after").isNull().alias("cut_short"),
         F.lit(False).alias("last"),
     )
-    owners = _list_heads(cells, scratch)
+    owners = list_heads(cells, scratch)
     placed = scratch.cut(linked.unionByName(last).join(owners, "cell"))
     # A list that never ends runs into a ring; it is left out and reported.
     ended = placed.filter("last or cut_short").select("head").dropDuplicates()
@@ -261,7 +273,7 @@ def _operand_rows(
     return outer.unionByName(inner).dropDuplicates(), single.dropDuplicates(), broken
 
 
-def _list_heads(cells: DataFrame, scratch: Scratch) -> DataFrame:
+def list_heads(cells: DataFrame, scratch: Scratch) -> DataFrame:
     """``(cell, head)``: the first cell of the list each cell is in.
 
     Every round replaces a cell's known ancestor by that one's own ancestor, so after r

@@ -178,3 +178,57 @@ def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
         _t(pending, list_, OWL + "members", head),
     ]
     return union_all(restrictions + lists)
+
+
+def more_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other kinds of restrictions, several expressions of one class, and
+    expressions as a domain and in a disjointness."""
+    customer = table(spark, sf_dir, "customer")
+    supplier = table(spark, sf_dir, "supplier")
+    part = table(spark, sf_dir, "part")
+    nation = table(spark, sf_dir, "nation")
+    same, below = OWL + "equivalentClass", RDFS + "subClassOf"
+    cust, supp, own = _n("cust:", "c_custkey"), _n("supp:", "s_suppkey"), _n("part:", "p_partkey")
+    vendor, home = _n("vendor:", "s_suppkey"), _n("nation:", "s_nationkey")
+    some, least, most = _n("_:in", "c_custkey"), _n("_:ge", "p_partkey"), _n("_:le", "p_partkey")
+    only, outside = _n("_:sell", "s_suppkey"), _n("_:out", "s_suppkey")
+    either, site, apart = _n("_:site", "s_suppkey"), _n("_:either", "n_nationkey"), _n("_:no", "p_partkey")
+
+    def pair(df: DataFrame, node: Column, key: str, name: str, one: Column, other: Column) -> list:
+        first, second = _n(f"_:{name}a", key), _n(f"_:{name}b", key)
+        return [
+            _t(df, node, OWL + "unionOf", first),
+            _t(df, first, RDF + "first", one),
+            _t(df, first, RDF + "rest", second),
+            _t(df, second, RDF + "first", other),
+            _t(df, second, RDF + "rest", RDF + "nil"),
+        ]
+
+    return union_all(
+        [
+            _t(customer, cust, same, some),
+            _t(customer, some, OWL + "onProperty", "inNation"),
+            _t(customer, some, OWL + "someValuesFrom", _n("nation:", "c_nationkey")),
+            _t(part, own, same, least),
+            _t(part, least, OWL + "onProperty", "soldBy"),
+            _t(part, least, OWL + "minCardinality", _count("p_size")),
+            _t(part, own, below, most),
+            _t(part, most, OWL + "onProperty", "madeOf"),
+            _t(part, most, OWL + "maxCardinality", _count("p_size")),
+            _t(supplier, supp, below, only),
+            _t(supplier, only, OWL + "onProperty", "sellsTo"),
+            _t(supplier, only, OWL + "allValuesFrom", home),
+            _t(supplier, supp, below, outside),
+            _t(supplier, outside, OWL + "complementOf", home),
+            _t(nation, _n("nation:", "n_nationkey"), below, site),
+            *pair(nation, site, "n_nationkey", "n", _n("region:", "n_regionkey"), _n("land:", "n_nationkey")),
+            *pair(supplier, vendor, "s_suppkey", "v", supp, home),
+            *pair(supplier, vendor, "s_suppkey", "w", supp, _n("agent:", "s_suppkey")),
+            _t(supplier, vendor, OWL + "complementOf", _n("buyer:", "s_suppkey")),
+            _t(supplier, _n("supplies:", "s_suppkey"), RDF_TYPE, OWL + "ObjectProperty"),
+            _t(supplier, _n("supplies:", "s_suppkey"), RDFS + "domain", either),
+            *pair(supplier, either, "s_suppkey", "e", supp, vendor),
+            _t(part, own, OWL + "disjointWith", apart),
+            _t(part, apart, OWL + "complementOf", _n("type:", "p_type")),
+        ]
+    )

@@ -140,7 +140,10 @@ def test_property_and_class_axioms(spark):
     assert short(rows(axioms.inverse_properties(t))) == {(":p1", ":p2"), (":p2", ":p1")}
     assert short(rows(axioms.super_properties(t))) == {(":p1", ":p2"), (":p2", ":p3")}
     assert short(rows(axioms.equivalent_properties(t))) == {(":p2", ":p1")}
-    assert short(rows(axioms.disjoint_classes(t))) == {(":A", ":B"), (":K", ":L")}
+    assert short(rows(axioms.disjoint_classes(t))) == {(":A", ":B")}
+    members, broken = axioms.disjoint_lists(t)
+    assert short(rows(members)) == {("_:d", ":K"), ("_:d", ":L"), ("_:d", ":M")}
+    assert rows(broken) == set()
     kb = kb_from_triples(t, t).kb
     assert short(rows(kb["op_domain"])) == {(":A", ":p1"), (":A", ":p2"), (":A", ":p3")}
     assert short(rows(kb["op_range"])) == {(":B", ":p1"), (":B", ":p2")}
@@ -274,6 +277,48 @@ def test_every_expression_of_a_class_is_kept(spark):
     assert rows(found.rejects) == {(E + "Z", "_:z"), (E + "N", "_:n")}
 
 
+def test_expressions_in_domains_and_disjointness(spark):
+    t = triples(
+        spark,
+        """
+        :p rdf:type owl:ObjectProperty
+        :q rdf:type owl:ObjectProperty
+        :p rdfs:domain _:u
+        _:u owl:unionOf _:u1
+        _:u1 rdf:first :B
+        _:u1 rdf:rest _:u2
+        _:u2 rdf:first :C
+        _:u2 rdf:rest rdf:nil
+        :A owl:disjointWith _:n
+        _:n owl:complementOf :D
+        _:some rdfs:subClassOf :F
+        _:some owl:onProperty :p
+        _:some owl:someValuesFrom :B
+        _:inv owl:inverseOf :q
+        _:inv rdfs:subPropertyOf :p
+        _:d rdf:type owl:AllDisjointClasses
+        _:d owl:members _:r1
+        _:r1 rdf:first :B
+        _:r1 rdf:rest _:r2
+        _:r2 rdf:first :C
+        _:r2 rdf:rest _:r1
+        :q rdfs:range _:odd
+        _:odd owl:oneOf rdf:nil
+        """,
+    )
+    built = kb_from_triples(t, t)
+    kb = built.kb
+    assert short(rows(kb["op_domain"])) >= {("_:u", ":p")}
+    assert short(rows(kb["equivalent_to_union"])) == {("_:u", ":B", ":C")}
+    assert short(rows(kb["disjoint_with"])) == {(":A", "_:n")}
+    assert short(rows(kb["complement_of"])) == {("_:n", ":D")}
+    assert ("_:some", ":F") in short(rows(kb["subclass_of_class"]))
+    assert short(rows(kb["equivalent_to_some"])) == {("_:some", ":p", ":B")}
+    assert short(rows(kb["sub_property_of"])) == {("_:inv", ":p")}
+    assert rows(kb["disjoint_members"]) == set()
+    assert rows(built.bad_expressions) == {("_:odd", "_:odd"), ("_:d", "_:r1")}
+
+
 def test_ntriples_without_white_space_and_with_quoted_comments(spark):
     from ontomill.sources.ntriples import parse_ntriples
 
