@@ -60,9 +60,11 @@ def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bands = quality_rules.fit(docs, quality_rules.learnable(table(spark, sf_dir, "labels")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        quality_rules.quality(table(spark, sf_dir, "documents"))
+        quality_rules.quality(docs, bands)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & F.col("in_band"))
     )

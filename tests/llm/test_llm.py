@@ -287,6 +287,36 @@ def test_op5_keeps_good_and_drops_repetitive_text(spark, documents):
     assert not quality.measure(noise, compressor, bands)[-1]
 
 
+def test_op5_learned_bands_reject_junk_that_the_base_rule_keeps(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {x["doc_id"]: x["quality"] for x in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    held = {i: x for i, x in labels.items() if zlib.crc32(str(i).encode()) % 3 == 1}
+    own = [r for r in queries.op5_quality(spark, sf).collect() if r["doc_id"] in held]
+    good = [r["in_band"] for r in own if held[r["doc_id"]] == 1]
+    bad = [r["in_band"] for r in own if held[r["doc_id"]] == 0 and not r["base_failed"]]
+    assert sum(good) >= 0.98 * len(good)
+    assert len(bad) > 50 and bad.count(False) >= 0.6 * len(bad)
+
+
+def test_op5_few_labels_and_the_last_chunk(spark, awkward):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    for known in (few, few.limit(0)):
+        assert quality.fit(docs, quality.learnable(known)) == quality.Bands()
+    assert quality.fit(awkward, quality.learnable(few)) == quality.Bands()
+    import zstandard
+
+    class Noted:
+        sizes = []
+
+        def compress(self, data):
+            self.sizes.append(len(data))
+            return zstandard.ZstdCompressor(level=quality.LEVEL).compress(data)
+
+    row = quality.measure("ab" * 2_500, Noted(), quality.Bands())
+    assert Noted.sizes == [5_000, 2_048, 2_048, 904] and row[6:8] == (3, 3)
+
+
 # 6 URLs
 
 
