@@ -427,6 +427,22 @@ def test_op7_chains_large_groups_and_awkward_rows(spark, awkward):
     assert {r["component_id"] for r in minhash.near_duplicates(several, size=2).collect()} == {1}
 
 
+def test_op7_each_text_of_an_id_is_confirmed_by_itself(spark):
+    rng = random.Random(4)
+    one, other = ([f"{c}{rng.randrange(10**6)}" for _ in range(100)] for c in "ab")
+    rows = []
+    for k, base in enumerate((one, other)):  # both texts have the id 1, each has a near copy
+        rows.append((1, " ".join(base)))
+        rows.append((10 + k, " ".join([*base, "more"])))
+    rows += rows[:2]  # repeated rows confirm nothing twice
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(frame.coalesce(1), size=2).collect()
+    assert len(found) == len(rows) and {r["component_id"] for r in found} == {1}
+    keys = {r["doc_id"]: r["node"] for r in minhash.keyed(frame.filter("doc_id > 1"), 2).collect()}
+    own = {r["node"]: r["comp"] for r in minhash.class_components(frame, size=2).collect()}
+    assert len(own) == 4 and own[keys[10]] != own[keys[11]]
+
+
 # 8 top k
 
 
