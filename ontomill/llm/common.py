@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def rows_where(docs: DataFrame, names: list[str], fits: Callable) -> DataFrame:
+    """The rows of ``docs`` that ``fits``, as they are; nothing is shuffled.
+
+    ``fits`` is made once a task: ``fits()(values of the first name, ...)`` gives a list
+    of booleans.
+    """
+    at = [docs.columns.index(name) for name in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = fits()
+        for part in slices(batches):
+            stays = judge(*[part.column(i).to_pylist() for i in at])
+            yield part.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8; none for null.
 

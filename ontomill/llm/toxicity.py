@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontomill.llm.common import slices, words_of
+from ontomill.llm.common import rows_where, slices, words_of
 
 BUCKETS = 1 << 15
 DIMENSIONS = 12
@@ -322,3 +322,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text", "lang").mapInArrow(
         run, f"doc_id {kind}, score double, limit double, toxic boolean"
     )
+
+
+def clean_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose score is below the limit of their language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def fits():
+        own, buckets = shared.value, _Buckets()
+
+        def judge(texts: list, langs: list) -> list[bool]:
+            return [
+                own.score(bucket_ids(text, buckets)) < own.limit(lang)
+                for text, lang in zip(texts, langs)
+            ]
+
+        return judge
+
+    return rows_where(docs, ["text", "lang"], fits)

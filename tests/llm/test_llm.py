@@ -595,3 +595,53 @@ def test_pipeline_awkward_rows(spark, awkward):
     left = {r["doc_id"]: r for r in corpus_pipeline.drop_repeated_passages(spark, awkward, SF).collect()}
     assert left[6]["text"] == "" and left[6]["n_chars"] == 0 and left[4]["text"] == "one"
     assert left[7]["text"] == "and then some more of it" and left[7]["kept"] == "clash"
+
+
+def test_pipeline_stages_against_brute_force_with_null_and_shared_ids(spark, documents):
+    rng = random.Random(6)
+    labels = {x["doc_id"]: x for x in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
+    known = [d for d in documents if d["doc_id"] in labels and d["text"]]
+    toxic = [d["text"] for d in known if labels[d["doc_id"]]["toxic"] == 1][:6]
+    bad = [d["text"] for d in known if labels[d["doc_id"]]["quality"] == 0][:6]
+    fine = [d["text"] for d in known if labels[d["doc_id"]]["quality"] == 1][:12]
+    passage = " ".join(f"p{i}" for i in range(20))
+    longs = [" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "abcd"]
+    rows = [(None, t) for t in toxic + bad]
+    rows += [(i, t) for i, pair in enumerate(zip(toxic + bad, fine)) for t in pair]
+    rows += [(50, longs[0]), (50, longs[1]), (50, longs[1]), (51, longs[1] + " more"), (52, "")]
+    rows += [(60, passage + " " + longs[2]), (61, longs[3] + " " + passage), (61, "own " * 3)]
+    rows += [(61, "x y z " + longs[2])]
+    frame = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2)
+
+    def found(out):
+        return Counter((r["doc_id"], r["text"]) for r in out.collect())
+
+    model = toxicity.fit(frame, toxicity.learnable(spark.read.parquet(f"{SF}/labels.parquet")))
+    scores = [model.score(toxicity.bucket_ids(t, toxicity._Buckets())) for _, t in rows]
+    expected = Counter(r for r, s in zip(rows, scores) if s < model.limit("en"))
+    assert found(corpus_pipeline.drop_toxic(spark, frame, SF)) == expected
+
+    import zstandard
+
+    compressor = zstandard.ZstdCompressor(level=quality.LEVEL)
+    measured = [quality.measure(t, compressor, quality.Bands()) for _, t in rows]
+    expected = Counter(r for r, m in zip(rows, measured) if m[-1] and 100 * m[4] <= 50 * m[0])
+    assert sum(expected.values()) < len(rows)
+    assert found(corpus_pipeline.drop_low_quality(spark, frame, SF)) == expected
+
+    ids = sorted({r for r in rows if r[0] is not None}, key=lambda r: r)
+    groups = brute_groups(list(enumerate(t for _, t in ids)), 5)
+    best = {}
+    for n, r in enumerate(ids):
+        best.setdefault(groups[n][1], []).append(r)
+    near = found(corpus_pipeline.drop_near_duplicates(spark, frame, SF))
+    assert sum(near.values()) == len(best) + sum(r[0] is None for r in rows)
+    for members in best.values():
+        (stays,) = [r for r in members if near[r]]
+        assert near[stays] == 1 and stays[0] == min(doc for doc, _ in members)
+
+    tail = frame.filter("doc_id >= 50")
+    left = corpus_pipeline.drop_repeated_passages(spark, tail, SF).filter("doc_id in (50, 61)")
+    assert found(left) == Counter([
+        (50, longs[0]), (50, longs[1]), (50, longs[1]), (61, longs[3]), (61, "own " * 3), (61, "x y z"),
+    ])
