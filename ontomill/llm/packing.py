@@ -54,7 +54,6 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are text
 
     def __missing__(self, chunk: bytes) -> bytes:
         found = self.ids(chunk.decode())

@@ -162,6 +162,19 @@ def test_op2_pieces_and_places(spark, documents):
     assert n <= 1.02 * math.ceil(sum(r["length"] for r in rows) / 4096) + 1
 
 
+def test_op2_names_of_special_tokens_in_a_text(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.WORD_VOCABULARY)
+    own, rng = packing.words_tokenizer(queries.WORD_VOCABULARY), random.Random(7)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", " ", "\n", "a", "The", "é", "x1", "!"]
+    texts = ["a <|endoftext|> b"] + ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(1_000)]
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids, text
+    assert np.frombuffer(own.encode(texts[0]), "<u4").tolist() == [320, 49407, 321]
+
+
 def test_op2_tree_and_awkward_rows(spark, awkward):
     rng = random.Random(1)
     sizes = [(i, rng.randint(1, 100) if i % 3 else rng.randint(40, 60)) for i in range(20_000)]
