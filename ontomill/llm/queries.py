@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontomill.llm import bpe, html_text, minhash, packing, preferences, substrings, topk
+from ontomill.llm import bpe, html_text, minhash, negatives, packing, periodic_runs
+from ontomill.llm import preferences, secret_scan, substrings, topk
 from ontomill.llm import quality as quality_rules
 from ontomill.llm import toxicity, url_templates
 from ontomill.llm.common import table
@@ -112,6 +113,71 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    kinds = [rule.kind for rule in secret_scan.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    return found.select(
+        "doc_id",
+        *[
+            F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long) as n_{kind}")
+            for kind in kinds
+        ],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: in one text of ten, told by crc32(doc_id), the words from some
+    place on repeat with a period, as the contract of ``op12_runs`` has it."""
+    docs = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.select(
+        "doc_id", "text", F.expr("h div 10").alias("g"), F.when(F.col("h") % 10 == 0, words).alias("words")
+    )
+    docs = docs.withColumn("n", F.expr("nullif(size(words), 0)")).withColumn("a", F.expr("g % n"))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p as int)]))")
+    text = F.when(F.col("words").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.runs(with_periods(table(spark, sf_dir, "documents")))
+    kind = found.schema["runs"].dataType.elementType.simpleString()
+    # Runs are in the order of start and period, so the first of equals is kept.
+    best = f"""aggregate(runs, cast(null as {kind}), (b, r) ->
+        if(b is null or r.length * b.period > b.length * r.period, r, b))"""
+    listed = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    return found.withColumn("best", F.expr(best)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")),
+    )
+    return negatives.mine(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -130,6 +196,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_substrings": op9_substrings,
         "op10_toxicity": op10_toxicity,
+        "op11_secrets": op11_secrets,
+        "op12_runs": op12_runs,
+        "op13_negatives": op13_negatives,
         "pipeline": pipeline,
     }
 
@@ -168,6 +237,22 @@ SQL = {
               from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
         from s qualify rank <= 5""",
+    "op13_negatives": r"""
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                          list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+                   from embeddings
+                   where vec_id is not null and label is not null and embedding is not null
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same,
+                     cast(coalesce(list_sum(list_transform(list_zip(a.e, r.e), lambda z: coalesce(z[1] * z[2], 0))), 0) as bigint) as score
+              from v a join v r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+        p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+              qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select p.anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+               cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as integer) as rank
+        from p join s on s.anchor_id = p.anchor_id and not s.same
+          and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+        qualify rank <= 5""",
 }
 
 
