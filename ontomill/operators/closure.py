@@ -49,7 +49,7 @@ def same_as_closure(same_as: DataFrame) -> DataFrame:
     return transitive_closure(same_as, "ind", "same")
 
 
-def same_as_groups(same_as: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def same_as_groups(same_as: DataFrame) -> DataFrame:
     """``(ind, same)`` from each individual to the smallest one it is equal to.
 
     Links count in both directions and chains are followed to the end; the smallest
@@ -65,18 +65,18 @@ def same_as_groups(same_as: DataFrame, max_rounds: int = 1_000) -> DataFrame:
         F.greatest("ind", "same").alias("node"), F.least("ind", "same").alias("root")
     ).dropDuplicates()
     links = scratch.cut(links.filter(F.col("node") != F.col("root")))
-    before = None
-    for _ in range(max_rounds):
+    while not _are_stars(links):
         links = scratch.cut(_small_star(_large_star(links)))
-        state = links.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
-            roots = links.select(F.col("root").alias("ind"), F.col("root").alias("same"))
-            members = links.select(F.col("node").alias("ind"), F.col("root").alias("same"))
-            return members.unionByName(roots.dropDuplicates())
-        before = state
-    raise RuntimeError(f"groups did not settle after {max_rounds} rounds")
+    roots = links.select(F.col("root").alias("ind"), F.col("root").alias("same"))
+    members = links.select(F.col("node").alias("ind"), F.col("root").alias("same"))
+    return members.unionByName(roots.dropDuplicates())
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one root and no root is a node."""
+    ends = links.selectExpr("inline(array(struct(node AS x, 1 AS up, 0 AS down), struct(root AS x, 0 AS up, 1 AS down)))")
+    ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ontomill.functions.terms import axiom_type
 from ontomill.kb import KnowledgeBase
 from ontomill.sources.scratch import Scratch
 
+def watch_rows(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` with its rows counted while a job reads them; ``rows_seen`` has the number."""
+    watched = Observation()
+    return df.observe(watched, F.count(F.lit(1)).alias("rows")), watched
+
+
+def rows_seen(watched: Observation) -> int | None:
+    """The rows that a finished job led past ``watched``; None if the planner left that part
+    of the job out."""
+    try:
+        return watched.get["rows"]
+    except Py4JJavaError:  # there is no row of figures
+        return None
+
 
 def class_counts(kb: KnowledgeBase) -> DataFrame:
     """``(cls, n)``: members of each class."""

@@ -14,8 +14,10 @@ their buckets are even whatever class, property or individual dominates.
 from __future__ import annotations
 
 import time
+from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,11 @@ from ontomill.kb import KnowledgeBase
 from ontomill.operators import edges as E
 from ontomill.operators import kernels as K
 from ontomill.operators.closure import same_as_groups
+from ontomill.operators.components import Components, spread
 from ontomill.operators.joins import key_join, new_rows_in_buckets, union_all
 from ontomill.operators.rules import RULES
-from ontomill.schema import FACT_TABLES, columns
+from ontomill.operators.stats import rows_seen, watch_rows
+from ontomill.schema import AXIOM_TABLES, FACT_TABLES, columns
 from ontomill.sources.scratch import Scratch, sorted_buckets
 
 CI, PI, SA = FACT_TABLES
@@ -107,10 +111,15 @@ class Edges:
 
 @dataclass
 class StageStats:
+    """What a stage added to a table: candidate rows by where they come from, new rows, and
+    the seconds that deriving and storing them took together."""
+
     stage: int
     table: str
     inserted: int
     seconds: float
+    derived: dict[str, int] = field(default_factory=dict)
+    planning: float = 0.0
 
 
 @dataclass
@@ -123,29 +132,61 @@ class Materialised:
 
     kb: KnowledgeBase
     stats: list[StageStats] = field(default_factory=list)
+    run: _Run | None = None
 
     def stats_frame(self) -> DataFrame:
+        """``(stage, table, inserted, seconds)``: new rows; stage 0 is what was given."""
         rows = [(s.stage, s.table, s.inserted, s.seconds) for s in self.stats]
         return self.kb.spark.createDataFrame(
             rows, "stage int, table string, inserted long, seconds double"
         )
 
+    def derivations(self) -> DataFrame:
+        """``(stage, table, source, derived, planning)``: candidate rows, known ones and
+        repeats included, by the kind of rule; ``planning`` is the time to put their plan together."""
+        rows = [
+            (s.stage, s.table, source, derived, s.planning)
+            for s in self.stats
+            for source, derived in sorted(s.derived.items())
+        ]
+        return self.kb.spark.createDataFrame(
+            rows, "stage int, table string, source string, derived long, planning double"
+        )
+
     def same_as_groups(self) -> DataFrame:
         """Each equal individual with the smallest individual of its group."""
         return same_as_groups(self.kb[SA])
 
+    def close(self) -> None:
+        """Delete the tables that the run wrote; neither ``kb`` nor what was continued from
+        this result can be read any more."""
+        if self.run is not None:
+            self.run.scratch.close()
+
 
 def materialise(
-    kb: KnowledgeBase,
+    kb: KnowledgeBase | Materialised,
     *,
+    added: KnowledgeBase | None = None,
     rules: set[str] | None = None,
     same_as_objects: bool = False,
-    max_stages: int = 1_000,
+    same_as_closure: bool = False,
+    max_stages: int | None = None,
 ) -> Materialised:
     """Derive every fact that follows by ``rules`` (all but the sameAs closure by default).
 
     ``same_as_objects`` also carries links over to individuals equal to their object.
-    Raises when ``max_stages`` pass without reaching the end; there is no partial result.
+    ``same_as_closure`` follows sameAs in both directions and over chains: groups of equal
+    individuals are kept up while facts are derived, all members get what is known of any,
+    and ``kb["same_as"]`` links each to the smallest of its whole group and back.
+
+    ``added`` holds facts and axioms to add to ``kb``, whose facts must be closed under its
+    own axioms and the same options, as those of a result are. Only combinations that use
+    something added are looked at. Given a ``Materialised``, its stored tables are read where
+    they are; a ``KnowledgeBase`` is stored once before.
+
+    There is no limit to the number of stages unless ``max_stages`` sets one; passing it
+    raises, as there is no partial result.
     """
     active = set(RULES) - {"same_as_transitive_closure"} if rules is None else set(rules)
     unknown = active - set(RULES)
@@ -153,48 +194,111 @@ def materialise(
         raise KeyError(f"unknown rules: {sorted(unknown)}")
     if "same_as_transitive_closure" in active:
         raise ValueError(
-            "the sameAs closure is no rule of the loop; apply closure.same_as_closure, or "
-            "closure.same_as_groups in linear space, to the result"
+            "the sameAs closure is no rule of the loop; pass same_as_closure=True, or apply "
+            "closure.same_as_closure or closure.same_as_groups to the result"
         )
-    run = _Run(kb, active, same_as_objects)
+    options = (frozenset(active), same_as_objects, same_as_closure)
+    before = kb if isinstance(kb, Materialised) else None
+    if before is not None:
+        if added is None:
+            raise ValueError("a materialised knowledge base is continued with something added")
+        if before.run.options != options:
+            raise ValueError("a result is continued with the rules and options that it was made with")
+    run = _Run(before.run.kb if before else kb, added, options, before.run if before else None)
     try:
-        with sorted_buckets(kb.spark):
+        with sorted_buckets(run.spark):
             return run.to_the_end(max_stages)
     except BaseException:
         run.scratch.forget_tables()
         raise
 
 
+#: Tables of earlier stages that a fact table may consist of; beyond, the latest are merged.
+MOST_TABLES = 6
+
+
+@dataclass
+class _Stored:
+    """One written table of a fact table; ``name`` is None if another run wrote it."""
+
+    path: str
+    table: DataFrame
+    rows: int
+    name: str | None
+
+
 class _Facts:
-    """One growing fact table: its written stages and the newest of them."""
+    """One growing fact table: its written stages and the newest of them.
+
+    Few tables make up the whole at any time: when they are more than ``MOST_TABLES``, the
+    latest ones are written as one, as many as are not much smaller than those before. A row
+    is thus written again a number of times that grows with the logarithm of the rows.
+    """
 
     def __init__(self, scratch: Scratch, name: str):
         self.scratch, self.name = scratch, name
-        self.stages: list[tuple[str, DataFrame]] = []
+        self.stages: list[_Stored] = []
         self.attempts = 0
         self.delta_written = False
 
-    def append(self, candidates: DataFrame | None) -> int:
-        """Write the candidates that are new as the next stage; return their number."""
+    def take_over(self, other: _Facts) -> None:
+        """Begin with the tables of a finished run, as they are."""
+        keys = columns(self.name)
+        for n, stored in enumerate(other.stages):
+            table = self.scratch.read_bucketed(
+                stored.path, f"{self.name}_before_{n}", stored.table.schema, keys, other.scratch.buckets
+            )
+            self.stages.append(_Stored(stored.path, table, stored.rows, None))
+
+    def append(self, candidates: dict[str, DataFrame]) -> tuple[int, dict[str, int]]:
+        """Write the candidates that are new as the next stage; return their number, and
+        the number of candidates by source, counted on the way."""
         self.delta_written = False
-        if candidates is None:
-            return 0
+        if not candidates:
+            return 0, {}
         keys = columns(self.name)
-        fresh = new_rows_in_buckets(candidates.select(*keys), [t for _, t in self.stages])
+        watched = {s: watch_rows(df.select(*keys)) for s, df in candidates.items()}
+        fresh = new_rows_in_buckets(
+            union_all([df for df, _ in watched.values()]), [s.table for s in self.stages]
+        )
         self.attempts += 1
         label = f"{self.name}_{self.attempts}"
+        fresh, kept = watch_rows(fresh)
         written = self.scratch.write_bucketed(fresh, label, keys)
-        rows = written.count()
+        rows = rows_seen(kept)
+        rows = written.count() if rows is None else rows
+        derived = {source: rows_seen(seen) or 0 for source, (_, seen) in watched.items()}
         if rows:
-            self.stages.append((self.scratch.path_of(label), written))
+            self.stages.append(_Stored(self.scratch.path_of(label), written, rows, label))
             self.delta_written = True
-        return rows
+        return rows, derived
 
-    def _scan(self, stages: list[tuple[str, DataFrame]]) -> DataFrame | None:
+    def compact(self) -> None:
+        """Merge earlier stages that have become many; nothing may be about to read them."""
+        earlier = self.stages[:-1] if self.delta_written else self.stages
+        if len(earlier) <= MOST_TABLES:
+            return
+        first = len(earlier) - 2
+        rows = earlier[-1].rows + earlier[-2].rows
+        while first > 0 and earlier[first - 1].rows <= 2 * rows:
+            first -= 1
+            rows += earlier[first].rows
+        keys = columns(self.name)
+        self.attempts += 1
+        label = f"{self.name}_{self.attempts}"
+        together = self._scan(earlier[first:]).repartition(self.scratch.buckets, *keys)
+        written = self.scratch.write_bucketed(together, label, keys)
+        merged = _Stored(self.scratch.path_of(label), written, rows, label)
+        self.stages = [*earlier[:first], merged, *self.stages[len(earlier) :]]
+        for stored in earlier[first:]:
+            if stored.name is not None:
+                self.scratch.delete(stored.name)
+
+    def _scan(self, stages: list[_Stored]) -> DataFrame | None:
         if not stages:
             return None
-        paths = [path for path, _ in stages]
-        return self.scratch.spark.read.schema(stages[0][1].schema).parquet(*paths)
+        paths = [s.path for s in stages]
+        return self.scratch.spark.read.schema(stages[0].table.schema).parquet(*paths)
 
     @property
     def full(self) -> DataFrame | None:
@@ -210,29 +314,56 @@ class _Facts:
 
 
 class _Run:
-    def __init__(self, kb: KnowledgeBase, active: set[str], same_as_objects: bool):
-        self.kb, self.active, self.same_as_objects = kb, active, same_as_objects
+    def __init__(
+        self,
+        kb: KnowledgeBase,
+        added: KnowledgeBase | None,
+        options: tuple[frozenset[str], bool, bool],
+        before: _Run | None,
+    ):
+        self.known, self.added, self.before, self.options = kb, added, before, options
+        self.kb = kb if added is None else kb.union(added)
+        self.active, self.same_as_objects, self.same_as_closure = options
         self.spark: SparkSession = kb.spark
         self.scratch = Scratch(self.spark)
         self.facts = {name: _Facts(self.scratch, name) for name in FACT_TABLES}
+        self.groups = Components(self.scratch)
+        self.touched: DataFrame | None = None
         self.stats: list[StageStats] = []
 
     # ---- axioms ----
 
     def _compile_edges(self) -> None:
+        """The edges of all axioms, and those of them that the added axioms brought."""
+        self.edge_table, rows = self._edge_table(self.kb)
+        self.edges = self._by_kind(self.edge_table, rows)
+        self.fresh_edges: dict[str, Edges] = {}
+        if self.added is None or not any(self.added.has(name) for name in AXIOM_TABLES):
+            return
+        known = self.before.edge_table if self.before else self._edge_table(self.known)[0]
+        if self.edge_table is not None:
+            fresh = self.edge_table if known is None else self.edge_table.subtract(known)
+            self.fresh_edges = self._by_kind(*self.scratch.settle(fresh))
+
+    def _edge_table(self, kb: KnowledgeBase) -> tuple[DataFrame | None, list | None]:
         parts = []
         for kind, (makers, names) in _KINDS.items():
             for rule, make in makers.items():
-                if rule in self.active and self.kb.has(*RULES[rule].axioms):
-                    parts.append(self._shared(kind, make(self.kb), names))
-        self.edges: dict[str, Edges] = {}
+                if rule in self.active and kb.has(*RULES[rule].axioms):
+                    parts.append(self._shared(kind, make(kb), names))
         if not parts:
-            return
+            return None, None
         base, _ = self.scratch.settle(union_all(parts).dropDuplicates())
         closed = self._close_hierarchies(base)
-        full, rows = self.scratch.settle(self._compose(base, closed).dropDuplicates())
+        return self.scratch.settle(self._compose(base, closed).dropDuplicates())
+
+    @staticmethod
+    def _by_kind(table: DataFrame | None, rows: list | None) -> dict[str, Edges]:
+        edges: dict[str, Edges] = {}
+        if table is None:
+            return edges
         if rows is None:
-            kinds = {r["kind"] for r in full.select("kind").distinct().collect()}
+            kinds = {r["kind"] for r in table.select("kind").distinct().collect()}
         else:
             kinds = {r["kind"] for r in rows}
         for kind, (_, names) in _KINDS.items():
@@ -242,7 +373,8 @@ class _Run:
             if rows is not None:
                 mine = [r for r in rows if r["kind"] == kind]
                 values = {n: {r[c] for r in mine} for c, n in names.items() if c in ("a", "b")}
-            self.edges[kind] = Edges(_of_kind(full, kind, names), values)
+            edges[kind] = Edges(_of_kind(table, kind, names), values)
+        return edges
 
     @staticmethod
     def _shared(kind: str, df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -301,41 +433,70 @@ class _Run:
 
     # ---- stages ----
 
-    def to_the_end(self, max_stages: int) -> Materialised:
+    def to_the_end(self, max_stages: int | None) -> Materialised:
         with ThreadPoolExecutor(max_workers=4) as pool:
             compiling = pool.submit(self._compile_edges)
-            given = {name: self.kb[name] for name in FACT_TABLES if self.kb.has(name)}
-            self._write(pool, given, stage=0)
+            self._begin(pool)
             compiling.result()
-            for stage in range(1, max_stages + 1):
+            stage = 0
+            while True:
+                stage += 1
+                if max_stages is not None and stage > max_stages:
+                    raise RuntimeError(f"facts are still growing after {max_stages} stages")
+                list(pool.map(_Facts.compact, self.facts.values()))
+                start = time.monotonic()
                 plans = {
                     CI: pool.submit(self._class_candidates),
                     PI: pool.submit(self._link_candidates),
                     SA: pool.submit(self._same_candidates),
                 }
                 candidates = {name: plan.result() for name, plan in plans.items()}
-                if not self._write(pool, candidates, stage):
+                planning = time.monotonic() - start
+                self.fresh_edges = {}
+                if not self._write(pool, candidates, stage, planning):
                     return self._finish()
-        raise RuntimeError(f"facts are still growing after {max_stages} stages")
 
-    def _write(self, pool: ThreadPoolExecutor, candidates: dict, stage: int) -> int:
+    def _begin(self, pool: ThreadPoolExecutor) -> None:
+        """Stage 0: what is given, or, besides facts known to be closed, what is added."""
+
+        def given(kb: KnowledgeBase) -> dict[str, dict[str, DataFrame]]:
+            return {name: {"given": kb[name]} for name in FACT_TABLES if kb.has(name)}
+
+        if self.added is None:
+            self._write(pool, given(self.kb), 0)
+            return
+        if self.before is not None:
+            for name, facts in self.facts.items():
+                facts.take_over(self.before.facts[name])
+            self.groups.parts = list(self.before.groups.parts)
+        else:
+            self._write(pool, given(self.known), 0)
+            # The links of a closed table; its groups are the groups of the facts.
+            self.stats = []
+        self.touched = None
+        self._write(pool, given(self.added), 0)
+
+    def _write(self, pool: ThreadPoolExecutor, candidates: dict, stage: int, planning: float = 0.0) -> int:
         """Append to the three tables at the same time; all read the same snapshot."""
 
         def append(name: str) -> StageStats:
             start = time.monotonic()
-            rows = self.facts[name].append(candidates.get(name))
-            return StageStats(stage, name, rows, time.monotonic() - start)
+            rows, derived = self.facts[name].append(candidates.get(name) or {})
+            return StageStats(stage, name, rows, time.monotonic() - start, derived, planning)
 
         stats = list(pool.map(append, FACT_TABLES))
         self.stats += stats
+        self.touched = None
+        if self.same_as_closure and self.facts[SA].delta is not None:
+            self.touched = self.groups.add(self.facts[SA].delta)
         return sum(s.inserted for s in stats)
 
-    def _class_candidates(self) -> DataFrame | None:
+    def _class_candidates(self) -> dict[str, DataFrame]:
         ci, pi, sa = (self.facts[n] for n in FACT_TABLES)
-        out = []
+        out: dict[str, list[DataFrame]] = defaultdict(list)
         if ci.delta is not None and "class" in self.edges:
             edges = self.edges["class"]
-            out.append(K.class_to_class(edges.narrow(ci.delta, "cls", "src"), edges.frame))
+            out["class"].append(K.class_to_class(edges.narrow(ci.delta, "cls", "src"), edges.frame))
         if ci.delta is not None and "pair" in self.edges:
             edges = self.edges["pair"]
             pairs = edges.frame
@@ -348,66 +509,104 @@ class _Run:
                 )
                 first = edges.narrow(ci.delta, "cls", "c1", "c2")
                 second = edges.narrow(ci.full, "cls", "c1", "c2")
-            out.append(K.class_pair_to_class(first, pairs, second))
+            out["pair"].append(K.class_pair_to_class(first, pairs, second))
         if pi.delta is not None and "end" in self.edges:
             edges = self.edges["end"]
-            out.append(K.property_to_class(edges.narrow(pi.delta, "prop", "prop"), edges.frame))
+            out["end"].append(
+                K.property_to_class(edges.narrow(pi.delta, "prop", "prop"), edges.frame)
+            )
         if "guarded" in self.edges:
-            edges = self.edges["guarded"]
             for members, links in self._at_least_one_new(ci, pi):
-                members = edges.narrow(members, "cls", "cls")
-                links = edges.narrow(links, "prop", "prop")
-                out.append(K.guarded_property_to_class(members, edges.frame, links))
+                out["guarded"].append(self._guarded(members, self.edges["guarded"], links))
         if "same_as_class_individual" in self.active:
-            for members, same in self._at_least_one_new(ci, sa):
-                near = K.same_to_class(members, same).dropDuplicates()
+            out["same_as"] += self._over_equals(ci, "individual", K.same_to_class)
+        # Facts that were there before meet only the edges that are new.
+        fresh = self.fresh_edges
+        if ci.old is not None and "class" in fresh:
+            edges = fresh["class"]
+            out["class"].append(K.class_to_class(edges.narrow(ci.old, "cls", "src"), edges.frame))
+        if ci.old is not None and "pair" in fresh:
+            edges = fresh["pair"]
+            first = edges.narrow(ci.old, "cls", "c1")
+            second = edges.narrow(ci.old, "cls", "c2")
+            out["pair"].append(K.class_pair_to_class(first, edges.frame, second))
+        if pi.old is not None and "end" in fresh:
+            edges = fresh["end"]
+            out["end"].append(K.property_to_class(edges.narrow(pi.old, "prop", "prop"), edges.frame))
+        if ci.old is not None and pi.old is not None and "guarded" in fresh:
+            out["guarded"].append(self._guarded(ci.old, fresh["guarded"], pi.old))
+        return _by_source(out)
+
+    @staticmethod
+    def _guarded(members: DataFrame, edges: Edges, links: DataFrame) -> DataFrame:
+        members = edges.narrow(members, "cls", "cls")
+        links = edges.narrow(links, "prop", "prop")
+        return K.guarded_property_to_class(members, edges.frame, links)
+
+    def _over_equals(self, facts: _Facts, end: str, step) -> list[DataFrame]:
+        """Facts carried over to individuals equal to their ``end``."""
+        sa, out = self.facts[SA], []
+        if not self.same_as_closure:
+            for known, same in self._at_least_one_new(facts, sa):
+                near = step(known, same).dropDuplicates()
                 # Second hop: through the smallest of a group to its other members.
-                out += [near, K.same_to_class(near, sa.full)]
-        return union_all(out) if out else None
-
-    def _link_candidates(self) -> DataFrame | None:
-        pi, sa = self.facts[PI], self.facts[SA]
-        out = []
-        if pi.delta is not None and "link" in self.edges:
-            edges = self.edges["link"]
-            out.append(K.property_to_property(edges.narrow(pi.delta, "prop", "src"), edges.frame))
+                out += [near, step(near, sa.full)]
+            return out
+        groups = self.groups.table()
+        if groups is not None and facts.delta is not None:
+            out.append(spread(facts.delta, groups, end))
+        if self.touched is not None and facts.old is not None:
+            out.append(spread(facts.old, self.touched, end))
+        return out
+
+    def _link_candidates(self) -> dict[str, DataFrame]:
+        pi = self.facts[PI]
+        out: dict[str, list[DataFrame]] = defaultdict(list)
+        for links, edges in ((pi.delta, self.edges), (pi.old, self.fresh_edges)):
+            if links is not None and "link" in edges:
+                narrowed = edges["link"].narrow(links, "prop", "src")
+                out["link"].append(K.property_to_property(narrowed, edges["link"].frame))
         if "same_as_prop_individual" in self.active:
             for side in ("domain", "range") if self.same_as_objects else ("domain",):
-                for links, same in self._at_least_one_new(pi, sa):
-                    near = K.same_to_property(links, same, side).dropDuplicates()
-                    out += [near, K.same_to_property(near, sa.full, side)]
-        return union_all(out) if out else None
+                step = partial(K.same_to_property, side=side)
+                out["same_as"] += self._over_equals(pi, side, step)
+        return _by_source(out)
 
-    def _same_candidates(self) -> DataFrame | None:
+    def _same_candidates(self) -> dict[str, DataFrame]:
         """Links of the groups that gained a value or became known as single-valued."""
         ci, pi = self.facts[CI], self.facts[PI]
-        if ci.delta is None and pi.delta is None:
-            return None
-        whole = self._single_valued_ends(ci.full, pi.full)
+        changed = ci.delta is not None or pi.delta is not None
+        if not changed and not {"unique", "guarded_unique"} & set(self.fresh_edges):
+            return {}
+        whole = self._single_valued_ends(ci.full, pi.full, self.edges)
         if whole is None:
-            return None
+            return {}
         if pi.old is not None:
-            new = [(x, y, False) for x, y in self._at_least_one_new(ci, pi)]
+            touched = [
+                self._single_valued_ends(x, y, self.edges, plain=False)
+                for x, y in self._at_least_one_new(ci, pi)
+            ]
             if pi.delta is not None:
-                new.append((None, pi.delta, True))
-            touched = [self._single_valued_ends(*inputs) for inputs in new]
+                touched.append(self._single_valued_ends(None, pi.delta, self.edges))
+            touched.append(self._single_valued_ends(ci.old, pi.old, self.fresh_edges))
             touched = [ends for ends in touched if ends is not None]
             if not touched:
-                return None
+                return {}
             group = ["prop", "side", "node"]
             whole = key_join(whole, union_all(touched).select(*group), group, "left_semi")
-        return K.same_values(whole)
+        return {"single_value": K.same_values(whole)}
 
+    @staticmethod
     def _single_valued_ends(
-        self, ci: DataFrame | None, pi: DataFrame | None, plain: bool = True
+        ci: DataFrame | None, pi: DataFrame | None, by_kind: dict[str, Edges], plain: bool = True
     ) -> DataFrame | None:
         """Ends with one value: of single-valued properties, and of guarded subjects."""
         ends = []
-        if plain and pi is not None and "unique" in self.edges:
-            edges = self.edges["unique"]
+        if plain and pi is not None and "unique" in by_kind:
+            edges = by_kind["unique"]
             ends.append(K.link_ends(edges.narrow(pi, "prop", "prop"), edges.frame))
-        if ci is not None and pi is not None and "guarded_unique" in self.edges:
-            edges = self.edges["guarded_unique"]
+        if ci is not None and pi is not None and "guarded_unique" in by_kind:
+            edges = by_kind["guarded_unique"]
             members = edges.narrow(ci, "cls", "cls")
             ends.append(K.guarded_ends(members, edges.frame, edges.narrow(pi, "prop", "prop")))
         return union_all(ends) if ends else None
@@ -426,16 +625,28 @@ class _Run:
         # While facts grow, the smallest value of a group may change. The links handed
         # out are those of the final groups, so they do not depend on the way there.
         # They are worked out when first asked for.
-        ends = self._single_valued_ends(tables.get(CI), tables.get(PI))
+        if self.same_as_closure:
+            groups = self.groups.table()
+            ends = None if groups is None else groups.filter("ind <> root")
+        else:
+            ends = self._single_valued_ends(tables.get(CI), tables.get(PI), self.edges)
         if ends is not None:
 
             def links() -> DataFrame:
-                same = K.same_values(ends).unionByName(self.kb[SA])
-                return self.scratch.cut(same.dropDuplicates())
+                if self.same_as_closure:
+                    back = ends.selectExpr("root AS ind", "ind AS same")
+                    same = ends.withColumnRenamed("root", "same").unionByName(back)
+                else:
+                    same = K.same_values(ends)
+                return self.scratch.cut(same.unionByName(self.kb[SA]).dropDuplicates())
 
             closed = closed.replace(same_as=links)
         self.scratch.forget_tables()
-        return Materialised(closed, self.stats)
+        return Materialised(closed, self.stats, self)
+
+
+def _by_source(parts: dict[str, list[DataFrame]]) -> dict[str, DataFrame]:
+    return {source: union_all(frames) for source, frames in parts.items() if frames}
 
 
 def _of_kind(edges: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:

@@ -218,6 +218,28 @@ GROUPS = """, reach(ind, same) AS (
   SELECT ind, same FROM sa0 UNION SELECT r.ind, s.same FROM reach r JOIN sa0 s ON r.same = s.ind)
 SELECT ind, min(same) AS same FROM reach GROUP BY ind"""
 
+# Documents that open or end alike, and all that chains of them reach.
+_CHAINS = [
+    """d AS (SELECT 'doc:' || doc_id AS ind, lang, source, md5(substr(text, 1, 40)) AS a, md5(right(text, 40)) AS b
+FROM documents WHERE text IS NOT NULL)""",
+    """step(ind, same) AS (SELECT x.ind, y.ind FROM d x JOIN d y ON x.a = y.a WHERE x.ind <> y.ind
+UNION SELECT x.ind, y.ind FROM d x JOIN d y ON x.b = y.b WHERE x.ind <> y.ind)""",
+    """reach(ind, same) AS (
+SELECT ind, same FROM step UNION SELECT r.ind, s.same FROM reach r JOIN step s ON r.same = s.ind)""",
+    "g AS (SELECT ind, min(same) AS root FROM reach GROUP BY ind)",
+    """p(prop, x, y) AS (SELECT 'opensWith', ind, a FROM d UNION SELECT 'endsWith', ind, b FROM d
+UNION SELECT 'fromSource', ind, 'src:' || source FROM d)""",
+]
+_CHAIN_RESULTS = {
+    "same_as_groups": "SELECT ind, root AS same FROM g",
+    "fix_chains_class_individuals": """SELECT 'Lang_' || lang AS cls, ind AS individual FROM d
+UNION SELECT 'Lang_' || lang, r.same FROM d JOIN reach r ON r.ind = d.ind""",
+    "fix_chains_prop_individuals": """SELECT prop, x AS "domain", y AS "range" FROM p
+UNION SELECT prop, r.same, y FROM p JOIN reach r ON r.ind = x""",
+    "fix_chains_same_as": """SELECT ind, root AS same FROM g WHERE ind <> root
+UNION SELECT root, ind FROM g WHERE ind <> root""",
+}
+
 BGP = {
     "bgp_q1": """SELECT DISTINCT a.individual AS x FROM ci0 a JOIN pi0 p ON p."domain" = a.individual
 WHERE a.cls = 'Prio_1' AND p.prop = 'placedBy' AND p."range" = 'cust:0'""",
@@ -441,11 +463,16 @@ JOIN ci0 i ON i.cls = a.cls""",
         ),
         **{
             name: "WITH RECURSIVE " + ",\n".join(_copies_equal()) + GROUPS
-            for name in ("rule_same_as_transitive_closure", "same_as_groups")
+            for name in ("rule_same_as_transitive_closure",)
         },
+        **{name: _with(_CHAINS, body) for name, body in _CHAIN_RESULTS.items()},
         "fix_class_individuals": _fix_sql("ci"),
         "fix_prop_individuals": _fix_sql("pi"),
         "fix_same_as": _fix_sql("sa"),
+        # In two steps or in one, the result is the same.
+        "fix_continued_class_individuals": _fix_sql("ci"),
+        "fix_continued_prop_individuals": _fix_sql("pi"),
+        "fix_continued_same_as": _fix_sql("sa"),
         **patterns,
         "agg_class_counts": _with(_base(), "SELECT cls, count(*) AS n FROM ci0 GROUP BY cls"),
         "agg_prop_counts": _with(_base(), "SELECT prop, count(*) AS n FROM pi0 GROUP BY prop"),

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ontomill.kb import local_frame
 
@@ -58,7 +59,8 @@ class Scratch:
         self.run = uuid.uuid4().hex
         self.path = f"{checkpoint_root(spark)}/ontomill-{self.run}"
         self._written = 0
-        self._bucketed: list[str] = []
+        self._bucketed: dict[str, str] = {}
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as a scan of the written files."""
@@ -85,23 +87,53 @@ class Scratch:
         on the first key skips most of each bucket, as its rows are sorted. ``keys``
         should identify a row, so that no bucket can be much larger than another.
         """
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        table = f"spark_catalog.default.ontomill_{self.run}_{name}"
+        table = self._table(name)
         (
             df.write.format("parquet")
-            .bucketBy(buckets, *keys)
+            .bucketBy(self.buckets, *keys)
             .sortBy(*keys)
-            .option("path", f"{self.path}/{name}")
+            .option("path", self.path_of(name))
             .saveAsTable(table)
         )
-        self._bucketed.append(table)
+        self._bucketed[name] = table
         return self.spark.table(table)
 
+    def read_bucketed(self, path: str, name: str, schema: T.StructType, keys: list[str], buckets: int) -> DataFrame:
+        """The bucketed files that another run wrote at ``path``, used where they are."""
+        table = self._table(name)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        by = ", ".join(f"`{key}`" for key in keys)
+        self.spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet"
+            f" CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+        self._bucketed[name] = table
+        return self.spark.table(table)
+
+    def _table(self, name: str) -> str:
+        return f"spark_catalog.default.ontomill_{self.run}_{name}"
+
     def path_of(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def delete(self, name: str) -> None:
+        """Delete a bucketed table of this run, files included; nothing may read it any more."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._bucketed.pop(name)}")
+        delete_folder(self.spark, self.path_of(name))
+
     def forget_tables(self) -> None:
         """Drop the catalog entries of the bucketed tables; the files stay."""
-        for table in self._bucketed:
+        for table in self._bucketed.values():
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        self._bucketed = []
+        self._bucketed = {}
+
+    def close(self) -> None:
+        """Delete all that this run wrote; frames that read it cannot be used any more."""
+        self.forget_tables()
+        delete_folder(self.spark, self.path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever that is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -178,3 +178,43 @@ def warehouse_kb(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
         class_individuals=lambda: class_individuals(spark, sf_dir),
         prop_individuals=lambda: prop_individuals(spark, sf_dir),
     )
+
+
+def passages_kb(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
+    """Documents that open or end alike are equal, so equality runs over chains of them."""
+    documents = table(spark, sf_dir, "documents").filter("text is not null")
+    doc = _id("doc", "doc_id")
+    ends = {"opensWith": F.substring("text", 1, 40), "endsWith": F.expr("right(text, 40)")}
+    links = [
+        documents.select(F.lit(prop).alias("prop"), doc.alias("domain"), F.md5(end).alias("range"))
+        for prop, end in ends.items()
+    ]
+    source = documents.select(
+        F.lit("fromSource").alias("prop"), doc.alias("domain"), _id("src", "source").alias("range")
+    )
+    members = documents.select(_named("Lang_", "lang").alias("cls"), doc.alias("individual"))
+    return KnowledgeBase.from_rows(
+        spark, inverse_functional_property=[(prop,) for prop in ends]
+    ).replace(class_individuals=members, prop_individuals=union_all([*links, source]))
+
+
+#: Axioms that ``split_kb`` adds later, with the tables they are in.
+LATER_AXIOMS = ("sub_property_of", "op_domain", "equivalent_to_intersection", "functional_property")
+
+
+def split_kb(spark: SparkSession, sf_dir: str) -> tuple[KnowledgeBase, KnowledgeBase]:
+    """The warehouse knowledge base in two: all but customers, and customers with some axioms."""
+    whole = warehouse_kb(spark, sf_dir)
+    members, links = whole["class_individuals"], whole["prop_individuals"]
+    later_member = F.col("individual").startswith("cust:")
+    later_link = F.col("domain").startswith("cust:")
+    known = {name: rows for name, rows in AXIOMS.items() if name not in LATER_AXIOMS}
+    later = {name: AXIOMS[name] for name in LATER_AXIOMS}
+    return (
+        KnowledgeBase.from_rows(spark, **known).replace(
+            class_individuals=members.filter(~later_member), prop_individuals=links.filter(~later_link)
+        ),
+        KnowledgeBase.from_rows(spark, **later).replace(
+            class_individuals=members.filter(later_member), prop_individuals=links.filter(later_link)
+        ),
+    )

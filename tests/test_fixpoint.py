@@ -1,6 +1,7 @@
 """Materialisation against a direct computation, and its properties."""
 
 import random
+from collections import defaultdict
 
 import pytest
 from conftest import rows
@@ -49,9 +50,11 @@ def _sample(seed: int) -> dict:
     )
 
 
-def _brute(t: dict) -> tuple[set, set, set]:
-    """The stated rules over Python sets, equal individuals as all pairs."""
-    ci, pi, sa = set(t["class_individuals"]), set(t["prop_individuals"]), set()
+def _brute(t: dict, chains: bool = False) -> tuple[set, set, set]:
+    """The stated rules over Python sets, equal individuals as all pairs; over all ``chains``
+    of them, both ways, if asked for."""
+    t = defaultdict(list, t)
+    ci, pi, sa = set(t["class_individuals"]), set(t["prop_individuals"]), set(t["same_as"])
     functional = {p for (p,) in t["functional_property"]}
     while True:
         nc, np, ns = set(), set(), set()
@@ -108,6 +111,9 @@ def _brute(t: dict) -> tuple[set, set, set]:
                         ns.add((b, b2))
                 if p == q and b == b2 and a != a2 and (p,) in t["inverse_functional_property"]:
                     ns.add((a, a2))
+        if chains:
+            ns |= {(y, x) for x, y in sa}
+            ns |= {(x, z) for x, y in sa for y2, z in sa if y == y2 and x != z}
         nc |= {(c, y) for c, x in ci for z, y in sa if z == x}
         np |= {(p, y, b) for p, a, b in pi for z, y in sa if z == a}
         if nc <= ci and np <= pi and ns <= sa:
@@ -129,6 +135,109 @@ def test_equals_direct_computation(spark, seed):
     assert _pairs(closed) == sa
 
 
+def _split(tables: dict, seed: int) -> tuple[dict, dict]:
+    """Facts and axioms in two random halves."""
+    rnd = random.Random(seed)
+    known, later = {}, {}
+    for name, table in tables.items():
+        chosen = [rnd.random() < 0.5 for _ in table]
+        known[name] = [r for r, first in zip(table, chosen) if first]
+        later[name] = [r for r, first in zip(table, chosen) if not first]
+    return known, later
+
+
+def _least_links(groups: dict) -> set:
+    return {pair for x, root in groups.items() if x != root for pair in ((x, root), (root, x))}
+
+
+def _roots(sa: set) -> dict:
+    """The smallest individual of each group, from all pairs of equal individuals."""
+    return {x: min([x, *(b for a, b in sa if a == x)]) for x in {x for pair in sa for x in pair}}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_continuing_equals_a_run_from_scratch(spark, seed):
+    tables = _sample(seed)
+    known, later = _split(tables, seed)
+    before = materialise(KnowledgeBase.from_rows(spark, **known))
+    stored = {name: [s.path for s in f.stages] for name, f in before.run.facts.items()}
+    result = materialise(before, added=KnowledgeBase.from_rows(spark, **later))
+    ci, pi, sa = _brute(tables)
+    assert (rows(result.kb[CI]), rows(result.kb[PI]), _pairs(result.kb)) == (ci, pi, sa)
+    # The known tables are used where they are; stage 0 is what was not known.
+    for name, facts in result.run.facts.items():
+        assert [s.path for s in facts.stages][: len(stored[name])] == stored[name]
+    given = {s.table: s.inserted for s in result.stats if s.stage == 0}
+    assert given[CI] == len(set(later[CI]) - rows(before.kb[CI]))
+    assert given[PI] == len(set(later[PI]) - rows(before.kb[PI]))
+
+
+def test_known_facts_meet_only_what_is_new(spark):
+    before = materialise(
+        KnowledgeBase.from_rows(
+            spark,
+            class_individuals=[("A", f"a{i}") for i in range(50)],
+            subclass_of_class=[("A", "B"), ("B", "C")],
+        )
+    )
+    nothing = materialise(before, added=KnowledgeBase.from_rows(spark, class_individuals=[("A", "a0")]))
+    assert all(s.inserted == 0 and sum(s.derived.values()) <= 1 for s in nothing.stats)
+    one = materialise(before, added=KnowledgeBase.from_rows(spark, class_individuals=[("B", "b")]))
+    assert [s.derived for s in one.stats if s.table == CI and s.stage == 1] == [{"class": 1}]
+    axiom = materialise(before, added=KnowledgeBase.from_rows(spark, subclass_of_class=[("C", "D")]))
+    # A -> D, B -> D, C -> D are new; the others are not applied again.
+    assert [s.derived for s in axiom.stats if s.table == CI and s.stage == 1] == [{"class": 150}]
+    assert rows(axiom.kb[CI]) == {(c, f"a{i}") for c in "ABCD" for i in range(50)}
+    with pytest.raises(ValueError):
+        materialise(before)
+    with pytest.raises(ValueError):
+        materialise(before, added=axiom.kb, same_as_closure=True)
+    axiom.close()
+    assert rows(before.kb[CI]) == {(c, f"a{i}") for c in "ABC" for i in range(50)}
+
+
+def test_a_closed_knowledge_base_is_continued(spark):
+    tables = _sample(5)
+    known, later = _split(tables, 5)
+    closed = materialise(KnowledgeBase.from_rows(spark, **known)).kb
+    result = materialise(closed, added=KnowledgeBase.from_rows(spark, **later))
+    ci, pi, _ = _brute(tables)
+    assert (rows(result.kb[CI]), rows(result.kb[PI])) == (ci, pi)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_facts_spread_over_chains_of_equal_individuals(spark, seed):
+    tables = _sample(seed + 10)
+    rnd = random.Random(seed)
+    tables["same_as"] = sorted({(f"i{rnd.randrange(8)}", f"i{rnd.randrange(8)}") for _ in range(3)})
+    tables["same_as"] = [(a, b) for a, b in tables["same_as"] if a != b]
+    ci, pi, sa = _brute(tables, chains=True)
+    whole = materialise(KnowledgeBase.from_rows(spark, **tables), same_as_closure=True)
+    assert (rows(whole.kb[CI]), rows(whole.kb[PI])) == (ci, pi)
+    given = set(tables["same_as"])
+    assert rows(whole.kb[SA]) == _least_links(_roots(sa)) | given
+    known, later = _split(tables, seed)
+    before = materialise(KnowledgeBase.from_rows(spark, **known), same_as_closure=True)
+    after = materialise(before, added=KnowledgeBase.from_rows(spark, **later), same_as_closure=True)
+    assert (rows(after.kb[CI]), rows(after.kb[PI])) == (ci, pi)
+    assert rows(after.kb[SA]) == _least_links(_roots(sa)) | given
+
+
+def test_a_long_chain_of_stages_keeps_few_tables(spark):
+    chain = KnowledgeBase.from_rows(
+        spark,
+        class_individuals=[("C", "x00")],
+        prop_individuals=[("p", f"x{i:02}", f"x{i + 1:02}") for i in range(30)],
+        subclass_of_all=[("C", "p", "C")],
+    )
+    result = materialise(chain)
+    assert rows(result.kb[CI]) == {("C", f"x{i:02}") for i in range(31)}
+    assert max(s.stage for s in result.stats) == 31
+    assert len(result.run.facts[CI].stages) <= fixpoint.MOST_TABLES + 2
+    derived = {r["stage"]: r["derived"] for r in result.derivations().collect() if r["source"] == "guarded"}
+    assert derived == {n: 1 for n in range(1, 31)} | {31: 0}
+
+
 def test_large_ontologies_and_hubs_take_the_other_paths(spark, monkeypatch):
     monkeypatch.setattr(fixpoint, "MAX_CLOSED_EDGES", 2)
     monkeypatch.setattr(fixpoint, "MAX_KEY_VALUES", 0)
