@@ -54,6 +54,10 @@ class KnowledgeBase:
         """Whether every named table was given (a table not given is empty)."""
         return all(name in self._tables for name in names)
 
+    def has_any(self, *names: str) -> bool:
+        """Whether one of the named tables was given."""
+        return any(name in self._tables for name in names)
+
     def replace(self, **tables: DataFrame | Callable[[], DataFrame]) -> KnowledgeBase:
         return KnowledgeBase(self.spark, {**self._tables, **tables})
 

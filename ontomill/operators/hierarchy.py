@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontomill.kb import KnowledgeBase
-from ontomill.operators.closure import transitive_closure
+from ontomill.operators.closure import Condensed, condense, transitive_closure
+from ontomill.operators.completion import completed_steps
 from ontomill.operators.joins import key_join, union_all
 from ontomill.schema import OWL_NOTHING, OWL_THING
 from ontomill.sources.scratch import Scratch
@@ -34,35 +35,85 @@ def told_superclasses(kb: KnowledgeBase) -> DataFrame:
     return steps.filter((F.col("cls") != "") & (F.col("supclass") != "")).dropDuplicates()
 
 
+def condensed_hierarchy(kb: KnowledgeBase, steps: DataFrame | None = None) -> Condensed:
+    """The classes with equal ones taken together, closed; by the told steps unless given."""
+    steps = told_superclasses(kb) if steps is None else steps
+    return condense(steps.select(F.col("cls").alias("src"), F.col("supclass").alias("dst")))
+
+
 def class_hierarchy_closure(kb: KnowledgeBase) -> DataFrame:
     """All ``(cls, supclass)`` between named classes that follow from the told steps."""
     closed = transitive_closure(told_superclasses(kb), "cls", "supclass")
-    named = ~F.col("cls").startswith("_:") & ~F.col("supclass").startswith("_:")
-    ends = (F.col("supclass") != OWL_THING) & (F.col("cls") != OWL_NOTHING)
-    return closed.filter(named & ends & (F.col("cls") != F.col("supclass")))
+    return _between_named(closed).filter(F.col("cls") != F.col("supclass"))
 
 
-def direct_superclasses(kb: KnowledgeBase, closed: DataFrame | None = None) -> DataFrame:
-    """``(cls, supclass)`` with nothing strictly between the two."""
-    if closed is None:
-        closed = class_hierarchy_closure(kb)
-    back = closed.select(F.col("supclass").alias("cls"), F.col("cls").alias("supclass"))
-    strict = Scratch(kb.spark).cut(closed.join(back, ["cls", "supclass"], "left_anti"))
-    lower = strict.select("cls", F.col("supclass").alias("mid"))
-    upper = strict.select(F.col("cls").alias("mid"), "supclass")
-    over_two = key_join(lower, upper, ["mid"]).select("cls", "supclass").dropDuplicates()
-    return strict.join(over_two, ["cls", "supclass"], "left_anti")
+def _between_named(pairs: DataFrame) -> DataFrame:
+    named = ~F.col("cls").startswith("_:") & ~F.col("supclass").startswith("_:")
+    ends = (F.col("supclass") != OWL_THING) & (F.col("cls") != OWL_NOTHING)
+    return pairs.filter(named & ends)
+
+
+def direct_superclasses(kb: KnowledgeBase, graph: Condensed | None = None) -> DataFrame:
+    """``(cls, supclass)`` with nothing strictly between the two, by the told steps or by those
+    of ``graph``.
+
+    Only steps can be direct. A step is not if another step from the same class leads to a
+    class below the same superclass; that is looked up in the closure. Steps by way of
+    unnamed classes are first followed to the next named ones.
+    """
+    graph = condensed_hierarchy(kb) if graph is None else graph
+    if graph.groups is not None:
+        shown = F.struct(
+            F.col("node").startswith("_:").alias("blank"),
+            F.col("node").isin(OWL_THING, OWL_NOTHING).alias("end"),
+            F.col("node").alias("name"),
+        )
+        shown = graph.groups.groupBy("root").agg(F.min(shown).alias("_shown"))
+    else:
+        shown = None
+
+    def visible(pairs: DataFrame, *ends: str) -> DataFrame:
+        """Pairs whose ends have a named member, which is neither Thing nor Nothing as an end."""
+        for end in ends:
+            name = F.col(end)
+            if shown is not None:
+                pairs = pairs.join(shown.withColumnRenamed("root", end), end, "left")
+                name = F.coalesce("_shown.name", end)
+            hidden = OWL_THING if end == "dst" else OWL_NOTHING
+            pairs = pairs.filter(~name.startswith("_:") & (name != hidden)).drop("_shown")
+        return pairs.select("src", "dst")
+
+    steps = visible(graph.steps, "src")
+    unnamed = steps.join(visible(steps, "dst"), ["src", "dst"], "left_anti")
+    onward = graph.closed.select(F.col("src").alias("_mid"), F.col("dst").alias("_end"))
+    around = key_join(unnamed.withColumnRenamed("dst", "_mid"), onward, ["_mid"])
+    around = around.select("src", F.col("_end").alias("dst"))
+    scratch = Scratch(kb.spark)
+    steps = scratch.cut(visible(steps.unionByName(around), "dst").dropDuplicates())
+    # src -> _mid and src -> dst are steps: is _mid below dst?
+    others = key_join(steps.withColumnRenamed("dst", "_mid"), steps, ["src"])
+    below = graph.closed.select(F.col("src").alias("_mid"), "dst")
+    over = others.join(below, ["_mid", "dst"], "left_semi").select("src", "dst")
+    direct = graph.members(steps.join(over, ["src", "dst"], "left_anti"))
+    return _between_named(direct.select(F.col("src").alias("cls"), F.col("dst").alias("supclass")))
+
+
+def inferred_superclasses(kb: KnowledgeBase, chains: DataFrame | None = None) -> DataFrame:
+    """``direct_superclasses`` of all that follows, existential restrictions, intersections
+    and property ``chains`` included; see ``completion.completed_steps``."""
+    steps = completed_steps(kb, told_superclasses(kb), chains)
+    return direct_superclasses(kb, condensed_hierarchy(kb, steps))
 
 
 def inferred_subclasses(kb: KnowledgeBase, direct: DataFrame | None = None) -> DataFrame:
     """subclass_of_class rows of the direct hierarchy that are not asserted."""
-    direct = direct_superclasses(kb) if direct is None else direct
+    direct = inferred_superclasses(kb) if direct is None else direct
     return direct.join(kb["subclass_of_class"], ["cls", "supclass"], "left_anti")
 
 
 def super_class_of(kb: KnowledgeBase, direct: DataFrame | None = None) -> DataFrame:
     """The direct hierarchy seen from above, as ``(cls, subclass)``."""
-    direct = direct_superclasses(kb) if direct is None else direct
+    direct = inferred_superclasses(kb) if direct is None else direct
     return direct.select(F.col("supclass").alias("cls"), F.col("cls").alias("subclass"))
 
 

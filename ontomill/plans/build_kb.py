@@ -68,7 +68,7 @@ def kb_from_triples(individuals: DataFrame, ontology: DataFrame) -> BuiltKB:
             "equivalent_property": axioms.equivalent_properties(ontology),
         },
     ).union(parts.kb)
-    direct = scratch.cut(hierarchy.direct_superclasses(stated))
+    direct = scratch.cut(hierarchy.inferred_superclasses(stated))
     properties = hierarchy.property_closure(stated)
     kb = stated.replace(
         subclass_of_class=stated["subclass_of_class"]

@@ -29,9 +29,8 @@ from ontomill.operators.closure import same_as_groups
 from ontomill.operators.components import Components, spread
 from ontomill.operators.joins import key_join, new_rows_in_buckets, union_all
 from ontomill.operators.rules import RULES
-from ontomill.operators.stats import rows_seen, watch_rows
 from ontomill.schema import AXIOM_TABLES, FACT_TABLES, columns
-from ontomill.sources.scratch import Scratch, sorted_buckets
+from ontomill.sources.scratch import Scratch, rows_seen, sorted_buckets, watch_rows
 
 CI, PI, SA = FACT_TABLES
 

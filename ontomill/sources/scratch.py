@@ -11,7 +11,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ontomill.kb import local_frame
@@ -51,6 +53,21 @@ def sorted_buckets(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def watch_rows(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` with its rows counted while a job reads them; ``rows_seen`` has the number."""
+    watched = Observation()
+    return df.observe(watched, F.count(F.lit(1)).alias("rows")), watched
+
+
+def rows_seen(watched: Observation) -> int | None:
+    """The rows that a finished job led past ``watched``; None if the planner left that part
+    of the job out."""
+    try:
+        return watched.get["rows"]
+    except Py4JJavaError:  # there is no row of figures
+        return None
+
+
 class Scratch:
     """A new folder of written tables for one run."""
 
@@ -69,6 +86,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def cut_rows(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """As ``cut``, with the number of rows, which the same job counts."""
+        watched, seen = watch_rows(df)
+        written = self.cut(watched)
+        rows = rows_seen(seen)
+        return written, written.count() if rows is None else rows
+
     def settle(self, df: DataFrame) -> tuple[DataFrame, list | None]:
         """``df`` worked out: literal rows, also returned, if few; else a written table.
 

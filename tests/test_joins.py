@@ -1,12 +1,13 @@
 """Joins, insert-if-new, closures and ordinals."""
 
 import itertools
+import random
 
 import pytest
 from conftest import row_list, rows
 
 from ontomill.operators import joins
-from ontomill.operators.closure import same_as_closure, same_as_groups, transitive_closure
+from ontomill.operators.closure import condense, same_as_closure, same_as_groups, transitive_closure
 from ontomill.operators.stats import number_rows, ordinals
 
 
@@ -80,6 +81,32 @@ def test_transitive_closure(spark):
     assert rows(transitive_closure(df, "a", "b")) == _brute_closure(edges)
 
 
+def test_closure_of_random_graphs(spark):
+    rnd = random.Random(4)
+    for n, m in ((12, 9), (9, 12), (7, 16)):
+        edges = [(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(m)]
+        df = spark.createDataFrame(edges, "a string, b string")
+        closed = _brute_closure(edges)
+        assert rows(transitive_closure(df, "a", "b")) == closed
+        graph = condense(df.select(df.a.alias("src"), df.b.alias("dst")))
+        on_cycle = {x for x, y in closed if x == y and any((x, z) in closed and (z, x) in closed and z != x for z, _ in closed)}
+        roots = {(x, min(z for z in on_cycle if (x, z) in closed and (z, x) in closed)) for x in on_cycle}
+        assert (rows(graph.groups) if graph.groups is not None else set()) == roots
+    none = spark.createDataFrame([], "a string, b string")
+    assert rows(transitive_closure(none, "a", "b")) == set()
+
+
+def test_a_long_chain_and_a_long_ring_take_few_rounds(spark):
+    chain = spark.range(1_000).selectExpr("id AS src", "id + 1 AS dst")
+    graph = condense(chain)
+    assert graph.groups is None and len(graph.rounds) <= 11
+    assert graph.rounds[-1] == graph.closed.count() == 1_000 * 1_001 // 2
+    ring = spark.range(300).selectExpr("id AS src", "(id + 1) % 300 AS dst")
+    graph = condense(ring.union(spark.createDataFrame([(7, 900)], "src long, dst long")))
+    assert rows(graph.groups) == {(n, 0) for n in range(300)}
+    assert rows(graph.closed) == rows(graph.steps) == {(0, 900)}
+
+
 def _brute_groups(edges):
     nodes = {n for e in edges for n in e}
     linked = _brute_closure(list(itertools.chain(edges, [(b, a) for a, b in edges])))
