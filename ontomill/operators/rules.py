@@ -8,14 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ontomill.kb import KnowledgeBase
 from ontomill.operators import closure, edges, kernels
 
 CLASS, PROP, SAME = "class_individuals", "prop_individuals", "same_as"
 
+#: Edges with at most this many keys narrow the facts they are applied to by literal values.
+MOST_KEYS = 500
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -37,39 +42,67 @@ def _rule(name: str, feeds: str, axioms: tuple[str, ...], body) -> None:
     RULES[name] = Rule(name, feeds, axioms, body)
 
 
+def _among(facts: DataFrame, column: str, edges: DataFrame, *names: str) -> DataFrame:
+    """The facts that some edge may apply to, by literal keys if these are few: the planner
+    then leaves out what cannot hold them, and the scans skip row groups."""
+    keys = reduce(DataFrame.union, [edges.select(F.col(name).alias("key")) for name in names])
+    found = keys.distinct().limit(MOST_KEYS + 1).collect()
+    if len(found) > MOST_KEYS:
+        return facts
+    return facts.filter(F.col(column).isin(sorted(row["key"] for row in found)))
+
+
 def _class_rule(name: str, axioms: tuple[str, ...], make: edges.Edges) -> None:
-    _rule(name, CLASS, axioms, lambda kb: kernels.class_to_class(kb[CLASS], make(kb)))
+    def body(kb: KnowledgeBase) -> DataFrame:
+        edge = make(kb)
+        return kernels.class_to_class(_among(kb[CLASS], "cls", edge, "src"), edge)
+
+    _rule(name, CLASS, axioms, body)
 
 
 def _pair_rule(name: str, axioms: tuple[str, ...], make: edges.Edges) -> None:
-    _rule(
-        name, CLASS, axioms, lambda kb: kernels.class_pair_to_class(kb[CLASS], make(kb), kb[CLASS])
-    )
+    def body(kb: KnowledgeBase) -> DataFrame:
+        edge = make(kb)
+        second = _among(kb[CLASS], "cls", edge, "c2")
+        return kernels.class_pair_to_class(_among(kb[CLASS], "cls", edge, "c1"), edge, second)
+
+    _rule(name, CLASS, axioms, body)
 
 
 def _end_rule(name: str, axioms: tuple[str, ...], make: edges.Edges) -> None:
-    _rule(name, CLASS, axioms, lambda kb: kernels.property_to_class(kb[PROP], make(kb)))
+    def body(kb: KnowledgeBase) -> DataFrame:
+        edge = make(kb)
+        return kernels.property_to_class(_among(kb[PROP], "prop", edge, "prop"), edge)
+
+    _rule(name, CLASS, axioms, body)
 
 
 def _link_rule(name: str, axioms: tuple[str, ...], make: edges.Edges) -> None:
-    _rule(name, PROP, axioms, lambda kb: kernels.property_to_property(kb[PROP], make(kb)))
+    def body(kb: KnowledgeBase) -> DataFrame:
+        edge = make(kb)
+        return kernels.property_to_property(_among(kb[PROP], "prop", edge, "src"), edge)
+
+    _rule(name, PROP, axioms, body)
 
 
 def _guarded_rule(name: str, axioms: tuple[str, ...], make: edges.Edges) -> None:
-    _rule(
-        name,
-        CLASS,
-        axioms,
-        lambda kb: kernels.guarded_property_to_class(kb[CLASS], make(kb), kb[PROP]),
-    )
+    def body(kb: KnowledgeBase) -> DataFrame:
+        edge = make(kb)
+        members = _among(kb[CLASS], "cls", edge, "cls")
+        return kernels.guarded_property_to_class(members, edge, _among(kb[PROP], "prop", edge, "prop"))
+
+    _rule(name, CLASS, axioms, body)
 
 
 def single_valued_ends(kb: KnowledgeBase, which: str) -> DataFrame:
     """The ends whose values are equal by the named rule, as (prop, side, node, other)."""
     if which == "equivalent_to_max_cardinality":
-        return kernels.guarded_ends(kb[CLASS], edges.max_cardinality(kb), kb[PROP])
+        edge = edges.max_cardinality(kb)
+        members = _among(kb[CLASS], "cls", edge, "cls")
+        return kernels.guarded_ends(members, edge, _among(kb[PROP], "prop", edge, "prop"))
     make = edges.functional if which == "functional_property" else edges.inverse_functional
-    return kernels.link_ends(kb[PROP], make(kb))
+    edge = make(kb)
+    return kernels.link_ends(_among(kb[PROP], "prop", edge, "prop"), edge)
 
 
 SINGLE_VALUE_RULES = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ontomill.functions.terms import axiom_type
 from ontomill.kb import KnowledgeBase
+from ontomill.operators.joins import new_rows
 from ontomill.sources.scratch import Scratch
 
 def class_counts(kb: KnowledgeBase) -> DataFrame:
@@ -59,5 +60,31 @@ def number_rows(rows: DataFrame, key: str, *by: str) -> DataFrame:
     inside = Window.partitionBy(key, "_piece").orderBy(*by)
     numbered = ranged.withColumn("_num", F.row_number().over(inside))
     return numbered.join(offsets, [key, "_piece"]).select(
-        *rows.columns, (F.col("_num") + F.col("_before")).cast("int").alias("num")
+        *rows.columns, (F.col("_num") + F.col("_before")).alias("num")
     )
+
+
+def last_numbers(numbered: DataFrame, key: str) -> DataFrame:
+    """``(key, last)``: the highest ``num`` of each key."""
+    return numbered.groupBy(key).agg(F.max("num").alias("last"))
+
+
+def insert_numbered(
+    batch: DataFrame, numbered: DataFrame, last: DataFrame, key: str, *by: str
+) -> tuple[DataFrame, DataFrame]:
+    """``(inserted, last)``: the rows of ``batch`` that are new, with numbers that go on where
+    their key's ended, and the last numbers with them.
+
+    Rows numbered before keep their numbers and are not numbered again; ``last`` is one row
+    a key. A batch that repeats a row, or a row that is there already, adds nothing for it.
+    Within a batch numbers follow the order of ``by``.
+    """
+    fresh = new_rows(batch.select(key, *by), [numbered.select(key, *by)])
+    inserted = (
+        number_rows(fresh, key, *by)
+        .join(last, key, "left")
+        .select(key, *by, (F.col("num") + F.coalesce("last", F.lit(0))).alias("num"))
+    )
+    inserted = Scratch(batch.sparkSession).cut(inserted)
+    ends = last.unionByName(last_numbers(inserted, key)).groupBy(key)
+    return inserted, ends.agg(F.max("last").alias("last"))

@@ -17,7 +17,14 @@ from ontomill.plans.fixpoint import materialise
 from ontomill.schema import FACT_TABLES
 from ontomill.sources import axioms, warehouse_ontology
 from ontomill.sources.class_expressions import decompose
-from ontomill.sources.warehouse import passages_kb, split_kb, table, warehouse_kb
+from ontomill.sources.ntriples import parse_ntriples
+from ontomill.sources.warehouse import (
+    passages_kb,
+    restrictions_kb,
+    split_kb,
+    table,
+    warehouse_kb,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,6 +178,21 @@ def told_properties(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
     )
 
 
+def _by_restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct superclasses that are not stated, through restrictions and a property chain."""
+    kb, chains = restrictions_kb(spark, sf_dir)
+    return hierarchy.inferred_subclasses(kb, hierarchy.inferred_superclasses(kb, chains))
+
+
+def _two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members numbered in two batches: the numbers of the first stay as they are."""
+    members = warehouse_kb(spark, sf_dir)["class_individuals"]
+    early = stats.ordinals(members.filter("md5(individual) < '8'"), "cls", "individual")
+    last = stats.last_numbers(early, "cls")
+    late, _ = stats.insert_numbered(members, early, last, "cls", "individual")
+    return early.unionByName(late)
+
+
 def _property_assertions(triples: DataFrame) -> DataFrame:
     return axioms.property_assertions(triples, axioms.object_properties(triples))
 
@@ -207,6 +229,11 @@ def _loaders() -> dict[str, Query]:
         "load_disjoint_members": _loader(lambda t: axioms.disjoint_lists(t)[0], o.expressions),
         "load_expression_domain": _loader(axioms.property_domains, o.more_expressions),
         "load_expression_disjoint": _loader(axioms.disjoint_classes, o.more_expressions),
+        "load_escaped_ntriples": lambda s, d: parse_ntriples(o.escaped(s, d))[0].dropDuplicates(),
+        "load_restricted_subclass_of_class": _by_restrictions,
+        "expression_rejects_without_property": _loader(
+            lambda t: decompose(t).rejects, o.bare_restrictions
+        ),
         "expression_rejects": _loader(lambda t: decompose(t).rejects, o.expressions),
         "agg_axiom_counts": _loader(
             stats.axiom_counts, o.facts, o.hierarchy, o.properties, o.expressions
@@ -266,6 +293,7 @@ def all_queries() -> dict[str, Query]:
         "win_member_ordinal": lambda s, d: stats.ordinals(
             warehouse_kb(s, d)["class_individuals"], "cls", "individual"
         ),
+        "win_ordinal_two_batches": _two_batches,
         "new_facts_anti": _new_facts,
         **_loaders(),
     }

@@ -384,6 +384,19 @@ SELECT cls, supclass FROM direct EXCEPT
   UNION SELECT 'cust:' || c_custkey, 'nation:' || c_nationkey FROM customer
   UNION SELECT 'supp:' || s_suppkey, 'nation:' || s_nationkey FROM supplier
   UNION SELECT 'part:' || p_partkey, 'type:' || p_type FROM part)""",
+    "expression_rejects_without_property": """SELECT DISTINCT 'part:' || p_partkey AS key,
+  '_:bare' || p_partkey AS expr FROM part""",
+    "load_escaped_ntriples": """SELECT 'doc:' || doc_id AS s, 'langé' AS p, 'Lang_' || lang AS o FROM documents
+UNION SELECT 'doc:' || doc_id, 'label', '"A' || chr(9) || '\\"' || lang || '\\""@en' FROM documents""",
+    "load_restricted_subclass_of_class": """WITH c AS (
+  SELECT c_custkey, n_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+r AS (SELECT c.* FROM c JOIN region ON r_regionkey = n_regionkey),
+o AS (SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS prio, r.* FROM orders JOIN r ON c_custkey = o_custkey)
+SELECT 'cust:' || c_custkey AS cls, 'Party' AS supclass FROM customer
+UNION SELECT 'cust:' || c_custkey, 'Resident_' || n_regionkey FROM r
+UNION SELECT 'order:' || o_orderkey, 'ShipsTo_' || n_nationkey FROM o
+UNION SELECT 'order:' || o_orderkey, CASE WHEN prio = '1' THEN 'Rush_' ELSE 'SoldIn_' END || n_regionkey FROM o
+UNION SELECT 'Rush_' || r_regionkey, unnest(['Prio_1', 'SoldIn_' || r_regionkey]) FROM region""",
     "expression_rejects": """SELECT DISTINCT 'kind:' || p_partkey AS key, '_:odd' || p_partkey AS expr
 FROM part""",
     "expression_equivalent_to_all": """SELECT DISTINCT 'supp:' || s_suppkey AS cls, 'sellsTo' AS prop,
@@ -482,7 +495,13 @@ JOIN ci0 i ON i.cls = a.cls""",
         "win_member_ordinal": _with(
             _base(),
             """SELECT cls, individual, CAST(row_number() OVER (
-  PARTITION BY cls ORDER BY individual) AS INTEGER) AS num FROM ci0""",
+  PARTITION BY cls ORDER BY individual) AS BIGINT) AS num FROM ci0""",
+        ),
+        "win_ordinal_two_batches": _with(
+            _base(),
+            """SELECT cls, individual, CAST(row_number() OVER (PARTITION BY cls, late ORDER BY individual)
+  + CASE WHEN late THEN count(*) FILTER (NOT late) OVER (PARTITION BY cls) ELSE 0 END AS BIGINT) AS num
+FROM (SELECT *, md5(individual) >= '8' AS late FROM ci0)""",
         ),
         "new_facts_anti": _with(
             _base(),

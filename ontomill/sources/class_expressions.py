@@ -123,8 +123,8 @@ def _expressions(triples: DataFrame) -> DataFrame:
     """``(expr, kind, prop, filler, card)``: everything that is stated of a node.
 
     Each union, intersection and complement of a node is a row of its own. The parts of
-    a restriction are put together; a node with two values of one part, or with a number
-    that is none, is no expression and ends up among the rejects of what uses it.
+    a restriction are put together; a node with two values of one part, without a property,
+    or with a number that is none, is no expression and ends up among the rejects of what uses it.
     """
     plain = F.lit(None).cast("string")
     for kind in ("complement", "union", "intersection"):
@@ -165,6 +165,7 @@ def _expressions(triples: DataFrame) -> DataFrame:
         F.coalesce("filler_0", F.lit(OWL_THING)).alias("filler"),
         card.alias("card"),
     ).filter(~F.col("kind").endswith("cardinality") | F.col("card").isNotNull())
+    restrictions = restrictions.filter(F.col("prop").isNotNull())
     return boolean.dropDuplicates().unionByName(restrictions)
 
 
@@ -315,5 +316,4 @@ def _named_columns(rows: DataFrame, table: str) -> DataFrame:
         "ind1": "ind1",
         "ind2": "ind2",
     }
-    rows = rows.select([F.col(source[c]).alias(c) for c in columns(table)])
-    return rows.dropna(subset=["prop"]) if "prop" in rows.columns else rows
+    return rows.select([F.col(source[c]).alias(c) for c in columns(table)])

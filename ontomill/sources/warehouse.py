@@ -99,20 +99,23 @@ def class_individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     order = _id("order", "o_orderkey")
     urgent = F.col("o_orderpriority") == "1-URGENT"
+    # The classes of an order, from one scan.
+    classes = F.array_compact(
+        F.array(
+            _named("Status_", "o_orderstatus"),
+            _named("Prio_", F.substring("o_orderpriority", 1, 1)),
+            F.when(~urgent, F.lit("NotPrio_1")),
+            F.when(urgent & (F.col("o_orderstatus") == "O"), F.lit("NotNotPrio_1")),
+            F.when(F.col("o_orderstatus") == "F", F.lit("NotOpen")),
+        )
+    )
+    order_classes = orders.select(F.explode(classes).alias("cls"), order.alias("individual"))
     return union_all(
         [
             rows(customer, _named("Seg_", "c_mktsegment"), _id("cust", "c_custkey")),
             rows(table(spark, sf_dir, "supplier"), F.lit("Supplier"), _id("supp", "s_suppkey")),
             rows(table(spark, sf_dir, "part"), _named("Type_", "p_type"), _id("part", "p_partkey")),
-            rows(orders, _named("Status_", "o_orderstatus"), order),
-            rows(orders, _named("Prio_", F.substring("o_orderpriority", 1, 1)), order),
-            rows(orders.filter(~urgent), F.lit("NotPrio_1"), order),
-            rows(
-                orders.filter(urgent & (F.col("o_orderstatus") == "O")),
-                F.lit("NotNotPrio_1"),
-                order,
-            ),
-            rows(orders.filter(F.col("o_orderstatus") == "F"), F.lit("NotOpen"), order),
+            order_classes,
             rows(
                 table(spark, sf_dir, "region"),
                 _named("Region_", "r_name"),
@@ -218,3 +221,48 @@ def split_kb(spark: SparkSession, sf_dir: str) -> tuple[KnowledgeBase, Knowledge
             class_individuals=members.filter(later_member), prop_individuals=links.filter(later_link)
         ),
     )
+
+
+def restrictions_kb(spark: SparkSession, sf_dir: str) -> tuple[KnowledgeBase, DataFrame]:
+    """Orders, customers and nations as classes that restrictions tie together, and a chain.
+
+    An order is placed by a customer, who is in a nation of a region; that the order is sold
+    in the region, shipped to the nation, and urgent there if so marked, is not stated.
+    """
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+
+    def rows(df: DataFrame, *values: Column | str, names: tuple[str, ...]) -> DataFrame:
+        values = [F.lit(v) if isinstance(v, str) else v for v in values]
+        return df.select(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+
+    some, steps = ("cls", "prop", "range"), ("cls", "supclass")
+    order, buyer = _id("order", "o_orderkey"), _id("cust", "c_custkey")
+    here, land = _id("region", "r_regionkey"), _id("nation", "n_nationkey")
+    sold = _named("SoldIn_", "r_regionkey")
+    priority = _named("Prio_", F.substring("o_orderpriority", 1, 1))
+    tables = {
+        "subclass_of_class": rows(nation, land, _id("region", "n_regionkey"), names=steps).unionByName(
+            rows(orders, order, priority, names=steps)
+        ),
+        "subclass_of_some": rows(
+            customer, buyer, "inNation", _id("nation", "c_nationkey"), names=some
+        ).unionByName(rows(orders, order, "placedBy", _id("cust", "o_custkey"), names=some)),
+        "equivalent_to_some": union_all(
+            [
+                rows(region, _named("Resident_", "r_regionkey"), "locatedIn", here, names=some),
+                rows(region, sold, "placedBy", _named("Resident_", "r_regionkey"), names=some),
+                rows(nation, _named("ShipsTo_", "n_nationkey"), "shipsTo", land, names=some),
+            ]
+        ),
+        "equivalent_to_intersection": rows(
+            region, _named("Rush_", "r_regionkey"), "Prio_1", sold, names=("cls", "ind1", "ind2")
+        ),
+    }
+    axioms = KnowledgeBase.from_rows(
+        spark, sub_property_of=[("inNation", "locatedIn")], op_domain=[("Party", "inNation")]
+    )
+    chains = spark.createDataFrame(
+        [("placedBy", "inNation", "shipsTo")], "first string, second string, whole string"
+    )
+    return axioms.replace(**tables), chains

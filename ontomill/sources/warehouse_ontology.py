@@ -232,3 +232,31 @@ def more_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
             _t(part, apart, OWL + "complementOf", _n("type:", "p_type")),
         ]
     )
+
+
+def bare_restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts below a restriction that names no property, suppliers below one that does."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    bare, site = _n("_:bare", "p_partkey"), _n("_:in", "s_suppkey")
+    return union_all(
+        [
+            _t(part, _n("part:", "p_partkey"), RDFS + "subClassOf", bare),
+            _t(part, bare, OWL + "someValuesFrom", _n("type:", "p_type")),
+            _t(supplier, _n("supp:", "s_suppkey"), RDFS + "subClassOf", site),
+            _t(supplier, site, OWL + "onProperty", "sellsTo"),
+            _t(supplier, site, OWL + "someValuesFrom", _n("nation:", "s_nationkey")),
+        ]
+    )
+
+
+def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines ``value`` that spell the same documents' languages in two ways each."""
+    documents = table(spark, sf_dir, "documents")
+    lines = [
+        "concat('<doc:', doc_id, '> <lang\\\\u00E9> <Lang_', lang, '> .')",
+        "concat('<doc\\\\u003A', doc_id, '> <lang\\\\U000000e9>\\t<Lang_', lang, '> . # again')",
+        "concat('<doc:', doc_id, '> <label> \"\\\\u0041\\\\t\\\\u0022', lang, '\\\\u0022\"@en .')",
+        "concat('<doc:', doc_id, '> <label> \"A\\t\\\\\"', lang, '\\\\\"\"@en .')",
+        "concat('<doc:', doc_id, '> <label> \"\\\\uD83D\" .')",
+    ]
+    return documents.selectExpr(f"inline(array({', '.join(f'struct({x} AS value)' for x in lines)}))")

@@ -383,3 +383,40 @@ def test_axiom_counts(spark):
     assert counts["Declaration"] == 4
     assert counts["DataPropertyAssertion"] == 1
     assert counts["SameIndividual"] == 1
+
+
+def test_escapes_are_decoded_and_written_again(spark):
+    lines = [
+        "<http://x/\\u00e9> <http://p> <http://x/\\U0001F600> .",
+        "<http://x/é> <http://p> <http://x/😀> .",
+        "<http://x/a\\u0020b> <http://p> \"\\u0041\\u0022\\t\\\\u0041\\n\"@en .",
+        "\t<http://x/a\\u0020b>\t<http://p>\t\"A\\\"\t\\\\u0041\\n\"@en.",
+        "<http://x/\\uD83D> <http://p> <http://o> .",
+        "<http://x/\\n> <http://p> <http://o> .",
+        "<http://x> <http://p> \"\\x\" .",
+        "<http://x> <http://p> \"\\U00110000\" .",
+    ]
+    found, rejects = parse_ntriples(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert rows(found) == {
+        ("http://x/é", "http://p", "http://x/😀"),
+        ("http://x/a b", "http://p", '"A\\"\t\\\\u0041\\n"@en'),
+    }
+    assert rows(rejects) == {(x,) for x in lines[4:]}
+    written = format_ntriples(found)
+    assert any("<http://x/a\\u0020b>" in r.value for r in written.collect())
+    assert rows(parse_ntriples(written)[0]) == rows(found)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+
+
+def test_a_restriction_without_a_property_is_rejected(spark):
+    from ontomill.sources.class_expressions import decompose
+
+    lines = [
+        "<A> <http://www.w3.org/2000/01/rdf-schema#subClassOf> _:x .",
+        "_:x <http://www.w3.org/2002/07/owl#someValuesFrom> <B> .",
+    ]
+    triples = parse_ntriples(spark.createDataFrame([(x,) for x in lines], "value string"))[0]
+    parts = decompose(triples)
+    assert rows(parts.kb["subclass_of_some"]) == set()
+    assert rows(parts.rejects) == {("A", "_:x")}

@@ -8,7 +8,7 @@ from conftest import row_list, rows
 
 from ontomill.operators import joins
 from ontomill.operators.closure import condense, same_as_closure, same_as_groups, transitive_closure
-from ontomill.operators.stats import number_rows, ordinals
+from ontomill.operators.stats import insert_numbered, last_numbers, number_rows, ordinals
 
 
 def _sides(spark):
@@ -133,3 +133,15 @@ def test_ordinals_in_pieces(spark):
     expected += [("hot", f"i{n:04}", n + 1) for n in range(500)]
     assert row_list(number_rows(df, "cls", "individual")) == expected
     assert row_list(ordinals(df, "cls", "individual")) == expected
+
+
+def test_ordinals_go_on_with_the_next_batch(spark):
+    schema = "cls string, individual string"
+    first = ordinals(spark.createDataFrame([("a", "x2"), ("a", "x1"), ("b", "y")], schema), "cls", "individual")
+    batch = spark.createDataFrame([("a", "x1"), ("a", "x0"), ("a", "x0"), ("a", "x9"), ("c", "z")], schema)
+    added, last = insert_numbered(batch, first, last_numbers(first, "cls"), "cls", "individual")
+    assert rows(added) == {("a", "x0", 3), ("a", "x9", 4), ("c", "z", 1)}
+    assert rows(last) == {("a", 4), ("b", 1), ("c", 1)}
+    again, last = insert_numbered(batch, first.unionByName(added), last, "cls", "individual")
+    assert rows(again) == set() and rows(last) == {("a", 4), ("b", 1), ("c", 1)}
+    assert dict(first.dtypes)["num"] == dict(added.dtypes)["num"] == "bigint"
