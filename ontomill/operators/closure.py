@@ -40,27 +40,34 @@ class Condensed:
 def condense(edges: DataFrame) -> Condensed:
     """Condense and close a graph given as ``(src, dst)``.
 
-    Pairs of edges that run both ways are contracted first, as long as there are any; what
-    cycles are left are found by ``_cycles``. Paths are then doubled: with ``S`` the pairs
+    Edges that run both ways are contracted first; what cycles are left are found by
+    ``_cycles``. Paths are then doubled: with ``S`` the pairs
     joined by exactly 2**k edges and ``T`` those joined by fewer, the next ``T`` is ``T``, ``S``
     and ``S`` followed by ``T``, so a graph whose longest path has n edges takes log2(n) rounds
     and a pair is not put together over and over for each point between its ends.
     """
     scratch = Scratch(edges.sparkSession)
-    steps = edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
-    steps, rows = scratch.cut_rows(steps.dropDuplicates())
-    groups = None
-    while rows:
-        back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        mutual = steps.join(back, ["src", "dst"], "left_semi")
-        found, some = scratch.cut_rows(mutual.select(F.col("src").alias("ind"), F.col("dst").alias("same")))
-        if not some:
-            break
-        joined = same_as_groups(found).select(F.col("ind").alias("node"), F.col("same").alias("root"))
-        steps, groups, rows = _contract(scratch, steps, groups, joined)
+    # One row for the edges between two nodes, whichever way they run.
+    pairs = (
+        edges.filter(F.col("src") != F.col("dst"))
+        .groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
+        .agg(F.min("src").alias("a"), F.max("src").alias("b"))
+    )
+    pairs, figures = scratch.cut_figures(pairs, rows="count(1)", both="count_if(a <> b)")
+    rows, groups = figures["rows"] + figures["both"], None
+    steps = pairs.selectExpr(
+        "inline(if(a <> b, array(struct(lo AS src, hi AS dst), struct(hi AS src, lo AS dst)),"
+        " array(struct(a AS src, if(a = lo, hi, lo) AS dst))))"
+    )
+    if figures["both"]:
+        mutual = pairs.filter("a <> b").select(F.col("lo").alias("ind"), F.col("hi").alias("same"))
+        groups = same_as_groups(mutual).select(F.col("ind").alias("node"), F.col("same").alias("root"))
+        steps, groups, rows = _contract(scratch, steps, None, groups)
     powers, acyclic = _powers(scratch, steps, rows)
     if not acyclic:
-        steps, groups, rows = _contract(scratch, steps, groups, _cycles(scratch, steps, powers))
+        steps, groups, rows = _contract(
+            scratch, steps, groups, scratch.cut(_cycles(scratch, steps, powers))
+        )
         powers, _ = _powers(scratch, steps, rows)
     closed, rounds = steps, [rows]
     for power in powers[1:]:
@@ -76,7 +83,6 @@ def _contract(
     scratch: Scratch, steps: DataFrame, groups: DataFrame | None, joined: DataFrame
 ) -> tuple[DataFrame, DataFrame, int]:
     """Take the nodes of ``joined`` ``(node, root)`` together in the edges and the groups."""
-    joined = scratch.cut(joined)
     for end in ("src", "dst"):
         roots = joined.select(F.col("node").alias(end), F.col("root").alias("_root"))
         other = "dst" if end == "src" else "src"

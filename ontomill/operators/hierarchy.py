@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontomill.kb import KnowledgeBase
@@ -32,13 +32,27 @@ def told_superclasses(kb: KnowledgeBase) -> DataFrame:
             step("equivalent_to_union", "ind2", "cls"),
         ]
     )
-    return steps.filter((F.col("cls") != "") & (F.col("supclass") != "")).dropDuplicates()
+    return steps.filter((F.col("cls") != "") & (F.col("supclass") != ""))
+
+
+# A class in a condensed hierarchy is its name behind a sign. The smallest member stands for a
+# group of equal classes, so the signs make it a named one if there is any.
+NAMED, END, UNNAMED = "0", "1", "2"
+
+
+def _signed(name: str) -> Column:
+    sign = F.when(F.col(name).startswith("_:"), UNNAMED)
+    sign = sign.when(F.col(name).isin(OWL_THING, OWL_NOTHING), END).otherwise(NAMED)
+    return F.concat(sign, F.col(name))
 
 
 def condensed_hierarchy(kb: KnowledgeBase, steps: DataFrame | None = None) -> Condensed:
-    """The classes with equal ones taken together, closed; by the told steps unless given."""
+    """The classes with equal ones taken together, closed; by the told steps unless given.
+
+    Its nodes are class names behind one of the signs ``NAMED``, ``END`` and ``UNNAMED``.
+    """
     steps = told_superclasses(kb) if steps is None else steps
-    return condense(steps.select(F.col("cls").alias("src"), F.col("supclass").alias("dst")))
+    return condense(steps.select(_signed("cls").alias("src"), _signed("supclass").alias("dst")))
 
 
 def class_hierarchy_closure(kb: KnowledgeBase) -> DataFrame:
@@ -62,40 +76,22 @@ def direct_superclasses(kb: KnowledgeBase, graph: Condensed | None = None) -> Da
     unnamed classes are first followed to the next named ones.
     """
     graph = condensed_hierarchy(kb) if graph is None else graph
-    if graph.groups is not None:
-        shown = F.struct(
-            F.col("node").startswith("_:").alias("blank"),
-            F.col("node").isin(OWL_THING, OWL_NOTHING).alias("end"),
-            F.col("node").alias("name"),
-        )
-        shown = graph.groups.groupBy("root").agg(F.min(shown).alias("_shown"))
-    else:
-        shown = None
-
-    def visible(pairs: DataFrame, *ends: str) -> DataFrame:
-        """Pairs whose ends have a named member, which is neither Thing nor Nothing as an end."""
-        for end in ends:
-            name = F.col(end)
-            if shown is not None:
-                pairs = pairs.join(shown.withColumnRenamed("root", end), end, "left")
-                name = F.coalesce("_shown.name", end)
-            hidden = OWL_THING if end == "dst" else OWL_NOTHING
-            pairs = pairs.filter(~name.startswith("_:") & (name != hidden)).drop("_shown")
-        return pairs.select("src", "dst")
-
-    steps = visible(graph.steps, "src")
-    unnamed = steps.join(visible(steps, "dst"), ["src", "dst"], "left_anti")
+    from_class = ~F.col("src").startswith(UNNAMED) & (F.col("src") != END + OWL_NOTHING)
+    to_class = ~F.col("dst").startswith(UNNAMED) & (F.col("dst") != END + OWL_THING)
+    steps = graph.steps.filter(from_class)
     onward = graph.closed.select(F.col("src").alias("_mid"), F.col("dst").alias("_end"))
-    around = key_join(unnamed.withColumnRenamed("dst", "_mid"), onward, ["_mid"])
+    around = key_join(steps.filter(~to_class).withColumnRenamed("dst", "_mid"), onward, ["_mid"])
     around = around.select("src", F.col("_end").alias("dst"))
-    scratch = Scratch(kb.spark)
-    steps = scratch.cut(visible(steps.unionByName(around), "dst").dropDuplicates())
+    steps = steps.unionByName(around).filter(to_class).dropDuplicates()
+    steps = Scratch(kb.spark).cut(steps)
     # src -> _mid and src -> dst are steps: is _mid below dst?
     others = key_join(steps.withColumnRenamed("dst", "_mid"), steps, ["src"])
+    others = others.filter(F.col("_mid") != F.col("dst"))
     below = graph.closed.select(F.col("src").alias("_mid"), "dst")
     over = others.join(below, ["_mid", "dst"], "left_semi").select("src", "dst")
     direct = graph.members(steps.join(over, ["src", "dst"], "left_anti"))
-    return _between_named(direct.select(F.col("src").alias("cls"), F.col("dst").alias("supclass")))
+    names = [F.substring(end, 2, 1 << 30).alias(n) for end, n in (("src", "cls"), ("dst", "supclass"))]
+    return _between_named(direct.select(*names))
 
 
 def inferred_superclasses(kb: KnowledgeBase, chains: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from ontomill.operators import closure, edges, kernels
 
 CLASS, PROP, SAME = "class_individuals", "prop_individuals", "same_as"
 
-#: Edges with at most this many keys narrow the facts they are applied to by literal values.
+#: Edges of at most this many rows narrow the facts they are applied to by literal values.
 MOST_KEYS = 500
 
 
@@ -45,11 +44,10 @@ def _rule(name: str, feeds: str, axioms: tuple[str, ...], body) -> None:
 def _among(facts: DataFrame, column: str, edges: DataFrame, *names: str) -> DataFrame:
     """The facts that some edge may apply to, by literal keys if these are few: the planner
     then leaves out what cannot hold them, and the scans skip row groups."""
-    keys = reduce(DataFrame.union, [edges.select(F.col(name).alias("key")) for name in names])
-    found = keys.distinct().limit(MOST_KEYS + 1).collect()
+    found = edges.select(*names).limit(MOST_KEYS + 1).collect()
     if len(found) > MOST_KEYS:
         return facts
-    return facts.filter(F.col(column).isin(sorted(row["key"] for row in found)))
+    return facts.filter(F.col(column).isin(sorted({row[name] for row in found for name in names})))
 
 
 def _class_rule(name: str, axioms: tuple[str, ...], make: edges.Edges) -> None:

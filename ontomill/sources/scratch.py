@@ -62,8 +62,13 @@ def watch_rows(df: DataFrame) -> tuple[DataFrame, Observation]:
 def rows_seen(watched: Observation) -> int | None:
     """The rows that a finished job led past ``watched``; None if the planner left that part
     of the job out."""
+    seen = _figures(watched)
+    return None if seen is None else seen["rows"]
+
+
+def _figures(watched: Observation) -> dict | None:
     try:
-        return watched.get["rows"]
+        return watched.get
     except Py4JJavaError:  # there is no row of figures
         return None
 
@@ -88,10 +93,16 @@ class Scratch:
 
     def cut_rows(self, df: DataFrame) -> tuple[DataFrame, int]:
         """As ``cut``, with the number of rows, which the same job counts."""
-        watched, seen = watch_rows(df)
-        written = self.cut(watched)
-        rows = rows_seen(seen)
-        return written, written.count() if rows is None else rows
+        written, figures = self.cut_figures(df, rows="count(1)")
+        return written, figures["rows"]
+
+    def cut_figures(self, df: DataFrame, **figures: str) -> tuple[DataFrame, dict]:
+        """As ``cut``, with figures given as SQL aggregates, which the same job works out."""
+        aggregates = [F.expr(value).alias(name) for name, value in figures.items()]
+        watched = Observation()
+        written = self.cut(df.observe(watched, *aggregates))
+        seen = _figures(watched)
+        return written, written.agg(*aggregates).first().asDict() if seen is None else seen
 
     def settle(self, df: DataFrame) -> tuple[DataFrame, list | None]:
         """``df`` worked out: literal rows, also returned, if few; else a written table.

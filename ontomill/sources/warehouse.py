@@ -100,16 +100,15 @@ def class_individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = _id("order", "o_orderkey")
     urgent = F.col("o_orderpriority") == "1-URGENT"
     # The classes of an order, from one scan.
-    classes = F.array_compact(
-        F.array(
-            _named("Status_", "o_orderstatus"),
-            _named("Prio_", F.substring("o_orderpriority", 1, 1)),
-            F.when(~urgent, F.lit("NotPrio_1")),
-            F.when(urgent & (F.col("o_orderstatus") == "O"), F.lit("NotNotPrio_1")),
-            F.when(F.col("o_orderstatus") == "F", F.lit("NotOpen")),
-        )
+    classes = F.array(
+        _named("Status_", "o_orderstatus"),
+        _named("Prio_", F.substring("o_orderpriority", 1, 1)),
+        F.when(~urgent, F.lit("NotPrio_1")),
+        F.when(urgent & (F.col("o_orderstatus") == "O"), F.lit("NotNotPrio_1")),
+        F.when(F.col("o_orderstatus") == "F", F.lit("NotOpen")),
     )
     order_classes = orders.select(F.explode(classes).alias("cls"), order.alias("individual"))
+    order_classes = order_classes.filter("cls IS NOT NULL")
     return union_all(
         [
             rows(customer, _named("Seg_", "c_mktsegment"), _id("cust", "c_custkey")),
