@@ -38,6 +38,10 @@ FAN_IN = 16
 CARRIED = 2_048
 #: Chunks of text whose ids a worker keeps.
 MAX_CHUNKS = 600_000
+#: Chunks that go to the tokenizer in one call.
+CALL_CHUNKS = 2_000
+#: Longer chunks are not kept.
+MAX_CHUNK_BYTES = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,21 +59,40 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        found = self.ids(chunk.decode())
-        if len(chunk) <= 64:
-            if len(self) >= MAX_CHUNKS:
-                self.clear()
-            self[chunk] = found
-        return found
-
-    def ids(self, text: str) -> bytes:
-        return np.array(
-            self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"
-        ).tobytes()
-
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; chunks not seen before go to the tokenizer many at a time."""
+        if len(self) > MAX_CHUNKS:
+            self.clear()
+        split = [text.encode().split() if text else [] for text in texts]
+        unseen = list(set().union(*split) - self.keys())
+        for at in range(0, len(unseen), CALL_CHUNKS):
+            self._learn(unseen[at : at + CALL_CHUNKS])
+        joined = [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+        for chunk in unseen:
+            if len(chunk) > MAX_CHUNK_BYTES:
+                del self[chunk]
+        return joined
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Encode chunks as one text; a token belongs to the chunk it begins in."""
+        written = [chunk.decode() for chunk in chunks]
+        found = self.tokenizer.encode(" ".join(written), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        begins = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        if len(chunks) > 1 and (np.diff(begins) < 0).any():
+            for chunk in chunks:  # the tokenizer moved characters; ask for each alone
+                self._learn([chunk])
+            return
+        ends = np.cumsum([len(chunk) + 1 for chunk in written])
+        ends[-1] = np.iinfo(np.int64).max
+        cuts = (4 * np.searchsorted(begins, ends)).tolist()
+        low = 0
+        for chunk, high in zip(chunks, cuts):
+            self[chunk] = ids[low:high]
+            low = high
 
 
 @lru_cache(maxsize=4)
@@ -89,8 +112,9 @@ def pieces(docs: DataFrame, path: str, room: int, end_id: int, with_ids: bool =
         tokenizer = words_tokenizer(path)
         for part in slices(batches):
             rows: list[tuple] = []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = tokenizer.encode(text) + end
+            coded = tokenizer.encode_all(part.column(1).to_pylist())
+            for doc, ids in zip(part.column(0).to_pylist(), coded):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * room)):
                     own = ids[at : at + 4 * room]
                     row = (doc, k, at // 4, len(own) // 4, zlib.crc32(own))
