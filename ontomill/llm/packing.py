@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -81,7 +82,7 @@ class _Words(dict):
         written = [chunk.decode() for chunk in chunks]
         found = self.tokenizer.encode(" ".join(written), add_special_tokens=False)
         ids = np.array(found.ids, "<u4").tobytes()
-        begins = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        begins = np.fromiter(map(itemgetter(0), found.offsets), np.int64, len(found))
         if len(chunks) > 1 and (np.diff(begins) < 0).any():
             for chunk in chunks:  # the tokenizer moved characters; ask for each alone
                 self._learn([chunk])
