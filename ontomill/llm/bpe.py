@@ -3,10 +3,10 @@
 **Encoding.** A sequence of tokens is the BPE encoding of its bytes exactly if every
 two neighbours are, i.e. if merging the bytes of the pair gives the pair back. So the
 encoding of a string is a walk through a nondeterministic transducer that guesses
-where tokens end: it follows the trie of the vocabulary and may close a token whose
-pair with the token before is a valid one. ``Transducer`` makes this machine
+where tokens end: it follows the bytes of a token of the vocabulary and may close it if
+its pair with the token before is a valid one. ``Transducer`` makes this machine
 deterministic by subsets, one arc when it is first needed. A subset holds, for each
-guess that is still alive, the tokens not yet written and the place in the trie;
+guess that is still alive, the tokens not yet written and what is read of the next;
 tokens that all guesses share are written at once. A guess lives for one token at
 most, so output follows input after a bounded lookahead, and the cost of a piece of
 text is linear in its bytes, also for a piece of a million letters.
@@ -15,78 +15,70 @@ text is linear in its bytes, also for a piece of a million letters.
 character; it takes tokens one at a time. Bytes that are no UTF-8 become U+FFFD, one
 for each maximal broken part.
 
-Both machines keep at most a fixed number of arcs and start afresh beyond that.
+Both machines keep at most a fixed number of arcs and start afresh beyond that; the ids
+of words are kept up to a fixed number of bytes.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable, Iterator
+from bisect import insort
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ontomill.llm.common import slices
 
-#: Arcs, pieces and pairs kept by a machine before it starts afresh.
-MAX_ARCS = 400_000
-MAX_PIECES = 400_000
-#: Longer chunks of text are encoded each time they occur.
+#: Arcs, and pairs of tokens, kept by a machine before it starts afresh.
+MAX_ARCS = 300_000
+#: Bytes of words and their ids that a codec keeps; longer words are encoded each time.
+MAX_CACHE_BYTES = 128 << 20
 LONGEST_KEPT = 48
+#: What a kept word takes beside its characters and ids: two objects and a place in a dict.
+ENTRY_BYTES = 180
 _NEVER = 1 << 60
 
 
-class _State(dict):
-    """One subset of guesses: byte -> (tokens written, next state)."""
-
-    __slots__ = ("machine", "last", "guesses")
-
-    def __init__(self, machine: Transducer, last: int, guesses: tuple):
-        super().__init__()
-        self.machine, self.last, self.guesses = machine, last, guesses
-
-    def __missing__(self, byte: int) -> tuple[tuple[int, ...], _State]:
-        arc = self[byte] = self.machine.arc(self, byte)
-        return arc
-
-
 class Transducer:
-    """Encodes one piece of text, given as bytes, into token ids."""
+    """Encodes one piece of text, given as bytes, into token ids.
+
+    Arcs lie in one dict: state * 256 + byte -> (tokens written, next state). A state is
+    a number for ``(open, tokens)``. ``tokens[k]`` is the last token of the encoding of
+    all bytes up to the k-th after those already written, which is unique. ``open`` is
+    what the guess with the longest unfinished token has read of it; the unfinished
+    tokens of the others are those of its ends that begin a token.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.child: dict[int, int] = {}  # node * 256 + byte -> node; the root is 0
-        self.token_at: list[int] = [-1]
-        self.inner: set[int] = {0}
-        for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                key = node * 256 + byte
-                onward = self.child.get(key)
-                if onward is None:
-                    onward = self.child[key] = len(self.token_at)
-                    self.token_at.append(-1)
-                    self.inner.add(node)
-                node = onward
-            self.token_at[node] = rank
+        self.size = {rank: len(token) for token, rank in ranks.items()}
+        self.single = [bytes([byte]) for byte in range(256)]
+        if not ranks.keys() >= set(self.single):
+            raise ValueError("every single byte has to be a token")
+        self.begun = {token[:n] for token in ranks for n in range(1, len(token))}
         self._restart()
 
     def _restart(self) -> None:
-        self.arcs = 0
-        self.states: dict[tuple, _State] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, tuple[tuple[int, ...], int]] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.start = self._state(-1, (((), 0),))
-
-    def _state(self, last: int, guesses: tuple) -> _State:
-        state = self.states.get((last, guesses))
-        if state is None:
-            state = self.states[last, guesses] = _State(self, last, guesses)
+        self.numbers: dict[tuple[bytes, tuple], int] = {}
+        self.states: list[tuple[bytes, tuple]] = []
+        self._state(b"", (-1,))
+
+    def _state(self, begun: bytes, tokens: tuple) -> int:
+        name = (begun, tokens)
+        state = self.numbers.setdefault(name, len(self.states))
+        if state == len(self.states):
+            self.states.append(name)
         return state
 
     def merged(self, data: bytes, until: int = 1) -> list[bytes]:
@@ -128,12 +120,7 @@ class Transducer:
         """
         if left < 0:
             return True
-        known = self.pairs.get((left, right))
-        if known is None:
-            known = self.pairs[left, right] = not self._joins(
-                self.edge(left, 1), self.edge(right, 0)
-            )
-        return known
+        return not self._joins(self.edge(left, 1), self.edge(right, 0))
 
     def _joins(self, ends: list[int], starts: list[int]) -> bool:
         i = j = 0
@@ -150,55 +137,67 @@ class Transducer:
             else:
                 j += 1
 
-    def arc(self, state: _State, byte: int) -> tuple[tuple[int, ...], _State]:
-        self.arcs += 1
-        children, token_at, inner, pairs = self.child, self.token_at, self.inner, self.pairs
-        alive, shared = [], None
-        for pending, node in state.guesses:
-            node = children.get(node * 256 + byte)
-            if node is None:
-                continue
-            if node in inner:
-                alive.append((pending, node))
-                shared = pending if shared is None else _shared_prefix(shared, pending)
-            token = token_at[node]
-            if token >= 0:
-                left = pending[-1] if pending else state.last
-                fits = pairs.get((left, token))
-                if fits if fits is not None else self.follows(left, token):
-                    closed = (*pending, token)
-                    alive.append((closed, 0))
-                    shared = closed if shared is None else _shared_prefix(shared, closed)
-        if not shared:
-            return (), self._state(state.last, tuple(alive))
-        cut = len(shared)
-        rest = tuple([(pending[cut:], node) for pending, node in alive])
-        return shared, self._state(shared[-1], rest)
+    def arc(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
+        ranks, begun, pairs = self.ranks, self.begun, self.pairs
+        data, tokens = self.states[state]
+        data += self.single[byte]
+        here = len(tokens)
+        closed, alive = None, []  # where the guesses that go on began their token
+        for k in range(len(data)):
+            end = data[k:]
+            if closed is None:  # one guess closes a token here, as the encoding is unique
+                token = ranks.get(end)
+                if token is not None:
+                    left = tokens[here - len(end)]
+                    pair = left << 32 | token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        fits = pairs[pair] = self.follows(left, token)
+                    if fits:
+                        closed = token
+            if end in begun:
+                alive.append(here - len(end))
+        tokens = (*tokens, closed)
+        first = alive[0] if alive else here
+        settled = self._settled(tokens, [*alive, here]) if first else 0
+        shared = self._back(tokens, settled) if settled else ()
+        arc = shared, self._state(data[len(data) - here + first :], tokens[settled:])
+        self.arcs[state << 8 | byte] = arc
+        return arc
+
+    def _settled(self, tokens: tuple, places: list[int]) -> int:
+        """The last place that the encodings up to all ``places`` (ascending) pass."""
+        size = self.size
+        while len(places) > 1:
+            top = places.pop()
+            place = top - size[tokens[top]]
+            if place not in places:
+                insort(places, place)
+            if not places[0]:
+                return 0
+        return places[0]
+
+    def _back(self, tokens: tuple, place: int) -> tuple[int, ...]:
+        """The tokens that lead to a place, in order."""
+        out = []
+        while place:
+            out.append(tokens[place])
+            place -= self.size[tokens[place]]
+        return tuple(out[::-1])
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)  # a piece that is a token is never taken apart
         if whole is not None:
             return (whole,)
-        if self.arcs > MAX_ARCS or len(self.pairs) > MAX_ARCS:
+        if len(self.arcs) > MAX_ARCS or len(self.pairs) > MAX_ARCS:
             self._restart()
-        state, out = self.start, []
+        state, out, known, make = 0, [], self.arcs.get, self.arc
         for byte in piece:
-            written, state = state[byte]
+            written, state = known(state << 8 | byte) or make(state, byte)
             if written:
                 out += written
-        for pending, node in state.guesses:
-            if node == 0:  # the one guess that ends where the text ends
-                out += pending
-        return tuple(out)
-
-
-def _shared_prefix(one: tuple, other: tuple) -> tuple:
-    if not one or not other or one[0] != other[0]:
-        return ()
-    n = 1
-    while n < len(one) and n < len(other) and one[n] == other[n]:
-        n += 1
-    return one[:n]
+        tokens = self.states[state][1]
+        return (*out, *self._back(tokens, len(tokens) - 1))
 
 
 class _Rest(dict):
@@ -275,11 +274,14 @@ class Decoder:
             state = self.states[begun] = _Rest(self, begun)
         return state
 
-    def stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """The text of each token as soon as its characters are complete."""
+    def _begin(self) -> _Rest:
         if sum(map(len, self.states.values())) > MAX_ARCS:
             self.states.clear()
-        state = self.state(b"")
+        return self.state(b"")
+
+    def stream(self, ids: Iterable[int]) -> Iterator[str]:
+        """The text of each token as soon as its characters are complete."""
+        state = self._begin()
         for token in ids:
             text, state = state[token]
             yield text
@@ -287,49 +289,72 @@ class Decoder:
             yield "�"
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.stream(ids))
+        state, out = self._begin(), []
+        for token in ids:
+            text, state = state[token]
+            out.append(text)
+        return "".join(out) + ("�" if state.begun else "")
+
+
+class _Odd(Exception):
+    """A blank with more white space after it: the text is not to be cut at blanks."""
 
 
 class Codec(dict):
-    """Whole texts to ids and back. As a dict: chunk of text -> ids as int32 bytes.
+    """Whole texts to ids and back. As a dict: word -> ids of a blank and the word.
+
+    A text is cut before blanks that another character than white space follows. No match
+    of the pattern reaches over such a place and no lookahead sees past it, so the parts
+    are encoded apart and often kept. Texts in which more white space follows a blank are
+    cut into runs of white space, each with the run of other characters after it.
 
-    A chunk is a run of white space with the run of other characters after it. No match
-    of the pattern and no lookahead of it reaches over the end of a chunk that ends in
-    another character than white space, so chunks are encoded apart and often kept.
+    What is kept has two halves, the younger of which is filled. When it holds half of
+    ``MAX_CACHE_BYTES`` it becomes the older one, and what was not used since goes.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.machine = Transducer(ranks)
         self.decoder = Decoder(self.machine.bytes_of)
-        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self.pieces = regex.compile(pattern)
         self.chunks = regex.compile(r"\s*\S+|\s+")
+        self.blank = regex.compile(r"\s|$")
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = b"".join([self.piece_ids(piece) for piece in self.pieces.findall(chunk)])
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= MAX_PIECES:
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            if self.blank.match(word):
+                raise _Odd
+            found = self.chunk_ids(" " + word)
+        if len(word) <= LONGEST_KEPT:
+            self.held += ENTRY_BYTES + len(word) + len(found)
+            if self.held > MAX_CACHE_BYTES // 2:
+                self.older = dict(self)
                 self.clear()
-            self[chunk] = found
+                self.held = 0
+            self[word] = found
         return found
 
-    def piece_ids(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            found = array("i", self.machine.encode(piece.encode())).tobytes()
-            if len(piece) <= LONGEST_KEPT:
-                if len(self.known) >= MAX_PIECES:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
+    def chunk_ids(self, chunk: str) -> bytes:
+        ids = array("i")
+        for piece in self.pieces.findall(chunk):
+            ids.extend(self.machine.encode(piece.encode()))
+        return ids.tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        return np.frombuffer(
-            b"".join(map(self.__getitem__, self.chunks.findall(text))), np.int32
-        )
+        begin, *words = text.split(" ")
+        try:
+            found = [self.chunk_ids(begin), *map(self.__getitem__, words)]
+        except _Odd:
+            found = [
+                self[chunk[1:]] if chunk[0] == " " and not self.blank.match(chunk, 1) else self.chunk_ids(chunk)
+                for chunk in self.chunks.findall(text)
+            ]
+        return np.frombuffer(b"".join(found), np.int32)
 
 
 @lru_cache(maxsize=4)
@@ -377,3 +402,34 @@ def decode(coded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> Da
 
     kind = coded.schema[key].dataType.simpleString()
     return coded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, ids array<int>, text string")
+
+
+def round_trip(
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    derive: Callable[[np.ndarray, str], tuple],
+    schema: str,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """``(key, *schema)``: what ``derive`` makes of the ids and the decoded text of every row.
+
+    Encoding and decoding share one codec in a task, and ids do not leave it. Null and
+    empty texts have no ids and decode to the empty text; rows stay as in ``encode``.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    names = [key, *(field.name for field in StructType.fromDDL(schema))]
+    kinds = [to_arrow_type(field.dataType) for field in StructType.fromDDL(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for part in slices(batches, 64):
+            rows = []
+            for value in part.column(1).to_pylist():
+                ids = own.encode(value)
+                rows.append(derive(ids, own.decoder.decode(ids.tolist())))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            yield pa.record_batch([part.column(0), *columns], names=names)
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {schema}")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +29,15 @@ RULES = (
 )
 
 
+def _digests(ids: np.ndarray, text: str) -> tuple[int, str, str]:
+    written = " ".join(map(str, ids.tolist())).encode()
+    return len(ids), sha256(written).hexdigest(), sha256(text.encode()).hexdigest()
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
-    return bpe.decode(coded, RANKS, PATTERN).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    docs = table(spark, sf_dir, "documents")
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return bpe.round_trip(docs, RANKS, PATTERN, _digests, columns)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

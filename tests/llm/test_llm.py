@@ -121,11 +121,15 @@ def test_transducer_and_decoder_on_random_input():
 
 def test_machines_start_afresh(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_ARCS", 50)
-    monkeypatch.setattr(bpe, "MAX_PIECES", 5)
+    monkeypatch.setattr(bpe, "MAX_CACHE_BYTES", 2_000)
     codec = bpe.Codec(bpe.codec(queries.RANKS, queries.PATTERN).machine.ranks, queries.PATTERN)
     text = "the unbelievable transducer restarts again and again, unbelievably often"
     assert codec.encode(text).tolist() == reference_encoding().encode_ordinary(text)
     assert codec.decoder.decode(codec.encode(text).tolist()) == text
+    many = " ".join(f"wordling{n % 37}ness{n % 11}" for n in range(500)) + "  two blanks \n line"
+    for text in (many, " " + many, many + " ", "", " ", "\u3000 x \u3000"):
+        assert codec.encode(text).tolist() == reference_encoding().encode_ordinary(text)
+    assert codec.held <= 1_000 and len(codec.older) < 10
 
 
 # 2 packing
