@@ -20,6 +20,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def rows_where(docs: DataFrame, names: list[str], fits: Callable) -> DataFrame:
@@ -64,7 +65,7 @@ class WordHasher:
     """
 
     #: Bytes hashed at once; only a longer word makes more.
-    STEP = 1 << 20
+    STEP = 1 << 18
     _BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 
     def __init__(self, fold: bool = False, seed: int = 9):

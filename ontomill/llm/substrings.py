@@ -42,7 +42,7 @@ SECTION_BITS = 18
 #: Characters of text for each word, to estimate the number of windows.
 CHARS_PER_WORD = 6
 #: Windows that a task takes together.
-CHUNK_WINDOWS = 1_500_000
+CHUNK_WINDOWS = 600_000
 
 
 @lru_cache(maxsize=1)
