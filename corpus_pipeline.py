@@ -22,6 +22,14 @@ MAX_REPEATED = 50
 ROOM, END_ID = 4096, 1
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """``docs`` as ``_row`` beside ``_doc``, a number for each document in the order of ids.
 
@@ -54,23 +62,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates one row with the smallest id stays.
 
     Different texts that share an id are different documents. Rows of one id without
-    words are one document.
+    words are one document. Of texts with the same id and shingles the smallest stays.
     """
     scratch = Scratch(spark)
-    keyed = scratch.cut(minhash.keyed(docs, 5, "_set"))
-    sets = keyed.filter("doc_id is not null and _set is not null").groupBy("_set").agg(
-        F.min("doc_id").alias("_least")
-    )
+    own = _free(docs, "_set")
+    keyed = scratch.cut(minhash.keyed(docs, 5, own))
+    sets = keyed.filter(F.col("doc_id").isNotNull() & F.col(own).isNotNull()).groupBy(
+        F.col(own).alias("_own")
+    ).agg(F.min("doc_id").alias("_least"))
     comps = minhash.class_components(docs, size=5, percent=80)
-    first = F.min(F.struct("_least", "_set")).alias("_first")
-    kept = sets.join(comps, F.col("_set") == F.col("node")).groupBy("comp").agg(first)
-    kept = scratch.cut(kept.select(F.col("_first._least").alias("_id"), F.col("_first._set").alias("_own")))
-    with_words = keyed.filter("doc_id is not null and _set is not null").join(
-        kept, (F.col("doc_id") == F.col("_id")) & (F.col("_set") == F.col("_own")), "left_semi"
-    )
-    without = keyed.filter("doc_id is not null and _set is null")
-    once = with_words.unionByName(without).dropDuplicates(["doc_id", "_set"])
-    return once.unionByName(keyed.filter("doc_id is null")).select(*docs.columns)
+    first = F.min(F.struct("_least", "_own")).alias("_first")
+    kept = sets.join(comps, F.col("_own") == F.col("node")).groupBy("comp").agg(first)
+    kept = scratch.cut(kept.select(F.col("_first._least").alias("_id"), F.col("_first._own").alias("_own")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.col(own).alias("_own"))
+    with_words = rows.join(kept, ["_id", "_own"], "left_semi")
+    once = with_words.unionByName(rows.filter("_id is not null and _own is null"))
+    text = F.coalesce(F.col("_row")["text"], F.lit(""))
+    once = once.groupBy("_id", "_own").agg(F.min_by("_row", text).alias("_row")).select("_row")
+    whole = once.unionByName(rows.filter("_id is null").select("_row"))
+    return whole.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
