@@ -662,3 +662,16 @@ def test_pipeline_stages_against_brute_force_with_null_and_shared_ids(spark, doc
     assert found(left) == Counter([
         (50, longs[0]), (50, longs[1]), (50, longs[1]), (61, longs[3]), (61, "own " * 3), (61, "x y z"),
     ])
+
+
+def test_near_duplicate_stage_takes_any_names_and_keeps_the_smallest_text(spark):
+    import corpus_pipeline
+
+    rows = [(1, "b B c d e f"), (1, "B b c d e f"), (2, None), (2, ""), (None, "b b c d e f"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["_id", "_own", "_set", "_SET_", "_row", "_least", "comp", "node"]
+    wide = docs.select("*", *[F.lit(i).alias(name) for i, name in enumerate(names)])
+    kept = corpus_pipeline.drop_near_duplicates(spark, wide, SF)
+    assert kept.columns == wide.columns
+    ids = Counter((r["doc_id"], r["text"] or "") for r in kept.collect())
+    assert ids == Counter([(1, "B b c d e f"), (2, ""), (None, "b b c d e f"), (None, "")])
