@@ -75,13 +75,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("page_id"),
-        F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1)
-        .when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
-        .alias("bad"),
-    )
-    return url_templates.judge(table(spark, sf_dir, "pages"), labels, RULES)
+    pages = table(spark, sf_dir, "pages")
+    learned = pages.filter(~url_templates.held_out(F.col("page_id")))
+    labels = url_templates.page_labels(learned, RULES)
+    return url_templates.judge(pages, labels, RULES)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

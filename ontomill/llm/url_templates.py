@@ -11,6 +11,9 @@ Rows are reduced to distinct (host, path) pairs before the tree is built and eac
 is a few grouped counts, so a host with a third of all pages costs no more than others.
 A template is rejected if its share of bad labels, smoothed by the share of all labels,
 passes ``MAX_BAD``. Explicit rules for hosts and paths win over the templates.
+
+Labels belong to pages (``page_labels``): where a rule fits its verdict is the label, any
+other page is bad if its main text fails the base quality rule.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontomill.llm import html_text, quality
 from ontomill.sources.scratch import Scratch
 
 #: Levels of the tree; deeper segments belong to the last level together.
@@ -160,8 +164,36 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def held_out(page_id: Column) -> Column:
+    """Whether the label of a page is kept from learning, a third of all; null ids are not."""
+    crc = F.crc32(page_id.cast("long").cast("string").cast("binary"))
+    return F.coalesce(crc % 3 == 1, F.lit(False))
+
+
+def page_labels(pages: DataFrame, rules: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """``(page_id, bad)`` of every page with an id, from its url and html.
+
+    A page that a rule fits is bad (1) if the rule blocks it, else good (0). Any other is
+    bad if its main text has under 50 words or over half of them in repeated windows, so
+    null and empty html are bad. Repeated rows have a label each; other columns are ignored.
+    """
+    known = pages.filter("page_id is not null")
+    said = rule_of(*host_and_path(F.col("url")), rules)[1]
+    ruled = known.filter(said.isNotNull()).select("page_id", (said == "block").cast("int").alias("bad"))
+    texts = html_text.extract(known.filter(said.isNull())).select(
+        F.col("page_id").alias("doc_id"), "text"
+    )
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    judged = quality.quality(texts).select(
+        F.col("doc_id").alias("page_id"), failed.cast("int").alias("bad")
+    )
+    return ruled.unionByName(judged)
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: Iterable[tuple[str, str]] = ()) -> DataFrame:
-    """``(page_id, host, path, rule, verdict, template, purity)`` of every page.
+    """``(page_id, host, path, rule, verdict, template, purity, template_verdict)`` of every page.
+
+    ``verdict`` is the rule's, or that of the template where no rule fits.
 
     Null urls and urls without ``://`` have empty host and path and are judged like any
     other template. Null ids and repeated rows stay as they are; columns beside page_id
@@ -177,5 +209,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Iterable[tuple[str, str]]
     return (
         shaped.join(found.select("host", "shape", "template", "purity"), ["host", "shape"], "left")
         .withColumn("rule", rule)
-        .select("page_id", "host", "path", "rule", F.coalesce(said, own).alias("verdict"), "template", "purity")
+        .withColumn("template_verdict", own)
+        .select(
+            "page_id",
+            "host",
+            "path",
+            "rule",
+            F.coalesce(said, "template_verdict").alias("verdict"),
+            "template",
+            "purity",
+            "template_verdict",
+        )
     )
