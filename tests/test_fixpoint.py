@@ -4,10 +4,11 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import rows
+from conftest import row_list, rows
 
 from ontomill.kb import KnowledgeBase
 from ontomill.operators import joins
+from ontomill.operators.components import written_out
 from ontomill.operators.rules import RULES, SINGLE_VALUE_RULES, all_same_pairs
 from ontomill.plans import fixpoint
 from ontomill.plans.fixpoint import materialise
@@ -223,6 +224,41 @@ def test_facts_spread_over_chains_of_equal_individuals(spark, seed):
     assert rows(after.kb[SA]) == _least_links(_roots(sa)) | given
 
 
+def test_groups_of_equals_are_not_written_out_while_facts_are_derived(spark):
+    n = 30
+    given = {
+        "class_individuals": [(f"C{i}", f"d{i:02}") for i in range(n)],
+        "prop_individuals": [("at", f"d{i:02}", f"t{j}") for i in range(n) for j in (i, i + 1)],
+        "inverse_functional_property": [("at",)],
+        "subclass_of_class": [("C0", "Top")],
+    }
+    kb = KnowledgeBase.from_rows(spark, **given)
+    result = materialise(kb, same_as_closure=True)
+    everyone = [f"d{i:02}" for i in range(n)]
+    links = {("at", d, f"t{j}") for d in everyone for j in range(n + 1)}
+    classes = {(c, d) for d in everyone for c in ["Top"] + [f"C{i}" for i in range(n)]}
+    assert row_list(result.kb[PI]) == sorted(links) and row_list(result.kb[CI]) == sorted(classes)
+    # n individuals with 2 n links are n (n + 1) rows in the result; each fact was kept at the root too.
+    assert sum(s.inserted for s in result.stats if s.table == PI) <= 2 * (2 * n)
+    assert sum(s.inserted for s in result.stats if s.table == CI) <= 3 * n
+    # Links that are turned round need all members; the result can be continued with such a rule.
+    later = KnowledgeBase.from_rows(spark, inverse_of=[("at", "of")], class_individuals=[("D", "d00")])
+    after = materialise(result, added=later, same_as_closure=True).kb
+    assert rows(after[PI]) == links | {("of", t, d) for _, d, t in links}
+    assert rows(after[CI]) == classes | {("D", d) for d in everyone}
+
+
+def test_pieces_of_a_large_group_are_written_out_once(spark, monkeypatch):
+    monkeypatch.setattr("ontomill.operators.components.PIECE", 3)
+    groups = spark.createDataFrame([(f"a{i}", "a0") for i in range(20)] + [("b1", "b0"), ("b0", "b0")], "ind string, root string")
+    facts = spark.createDataFrame([("p", "a7", "b1"), ("p", "a0", "b0"), ("q", "x", "a1")], "prop string, domain string, range string")
+    for ends in (["domain"], ["domain", "range"]):
+        tos = ["b0", "b1"]
+        wanted = [("p", f"a{i}", b) for i in range(20) for b in tos]
+        wanted += [("q", "x", f"a{i}") for i in range(20)] if len(ends) == 2 else [("q", "x", "a1")]
+        assert row_list(written_out(facts, groups, ends)) == sorted(wanted)
+
+
 def test_a_long_chain_of_stages_keeps_few_tables(spark):
     chain = KnowledgeBase.from_rows(
         spark,
