@@ -7,9 +7,10 @@ that is let pass for texts of a length, interpolated between lengths on a logari
 scale. A text is rejected if the whole lies outside its band, or if more than
 ``MAX_BAD_CHUNKS`` of its chunks do; the last chunk is judged by its own length.
 
-``fit`` learns the bands from labelled good texts: the ``TAIL`` quantiles of each length
+``fit`` learns the bands from all labelled good texts: the ``TAIL`` quantiles of each length
 class, moved outwards by ``MARGIN`` of their distance from the class's median. ``BANDS``
-holds wide limits for lengths with too few labelled texts.
+holds wide limits for lengths with too few labelled texts. Quantiles are exact: texts are
+numbered in order by Spark, and only those at the places asked for come to the driver.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontomill.llm.common import rows_where, slices
+from ontomill.operators.stats import number_rows
+from ontomill.sources.scratch import Scratch
 
 #: (bytes, lowest ratio, highest ratio); shorter texts than the first are not judged.
 #: Used without labels, and as the shape of the limits beside and beyond learned lengths.
@@ -39,8 +42,6 @@ BANDS = (
 CHUNK_BYTES = 2_048
 MAX_BAD_CHUNKS = 0.34
 LEVEL = 3
-#: Bound of the labelled good rows that limits are learned from.
-SAMPLE_ROWS = 6_000
 #: Texts of a length class at least; classes are the same number of texts each.
 CLASS_ROWS, MOST_CLASSES = 100, 12
 #: Share of a class beyond each limit before the margin, and the margin.
@@ -81,36 +82,76 @@ class Bands:
         )
 
 
-def learned(sizes: np.ndarray, ratios: np.ndarray, wide: Bands = Bands()) -> Bands:
-    """Bands from the sizes and ratios of good texts; ``wide`` if these are too few.
+def _places(rows: int, shares: list[float]) -> list[tuple[int, int, float]]:
+    """For each share the numbers, from 1, of the two rows that its quantile lies between,
+    and how far from the first."""
+    at = [share * (rows - 1) for share in shares]
+    return [(int(a) + 1, min(int(a) + 1, rows - 1) + 1, a - int(a)) for a in at]
+
+
+def _quantiles(
+    rows: DataFrame, column: str, sizes: list[int], shares: list[float]
+) -> list[list[float]]:
+    """The quantiles of ``column`` in each class, ``_class`` being its place in ``sizes``."""
+    places = [_places(n, shares) for n in sizes]
+    asked = [(c, num) for c, own in enumerate(places) for num in sorted({n for a, b, _ in own for n in (a, b)})]
+    asked = rows.sparkSession.createDataFrame(asked, "_class int, num long")
+    numbered = number_rows(rows.select("_class", column), "_class", column)
+    found = numbered.withColumn("num", F.col("num").cast("long")).join(F.broadcast(asked), ["_class", "num"])
+    value = {(r["_class"], r["num"]): r[column] for r in found.collect()}
+    return [
+        [value[c, a] + share * (value[c, b] - value[c, a]) for a, b, share in own]
+        for c, own in enumerate(places)
+    ]
+
+
+def learned(good: DataFrame, wide: Bands = Bands()) -> Bands:
+    """Bands from the ``size`` and ``ratio`` of good texts; ``wide`` if these are too few.
 
     Ratios grow with the length within a class too, so quantiles are taken of their
     distance from the line through the classes' medians. Beyond the middle of the first
     and the last class the limits run in parallel to those of ``wide``.
     """
-    judged = sizes >= wide.rows[0][0]
-    order = np.argsort(sizes[judged], kind="stable")
-    sizes, ratios = sizes[judged][order], ratios[judged][order]
-    count = min(MOST_CLASSES, len(sizes) // CLASS_ROWS)
+    scratch = Scratch(good.sparkSession)
+    judged = good.filter(F.col("size") >= wide.rows[0][0]).select("size", "ratio")
+    judged, rows = scratch.cut_rows(judged)
+    count = min(MOST_CLASSES, rows // CLASS_ROWS)
     if count < 2:
         return wide
-    logs = np.log(sizes)
-    classes = np.array_split(np.arange(len(sizes)), count)
-    middle = np.array([np.median(logs[own]) for own in classes])
+    sizes = [rows // count + (c < rows % count) for c in range(count)]
+    ends = np.cumsum(sizes)
+    whole = judged.withColumn("_all", F.lit(0))
+    numbered = number_rows(whole, "_all", "size", "ratio")
+    before = [(F.col("num") > int(end)).cast("int") for end in ends[:-1]]
+    classed = scratch.cut(numbered.select("size", "ratio", sum(before, F.lit(0)).alias("_class")))
+    logs = classed.select("_class", F.log("size").alias("log"))
+    middle = np.array([m for (m,) in _quantiles(logs, "log", sizes, [0.5])])
     middle, firsts = np.unique(middle, return_index=True)
-    classes = [np.concatenate(classes[a:b]) for a, b in zip(firsts, [*firsts[1:], count])]
-    centre = np.array([np.median(ratios[own]) for own in classes])
-    away = ratios - np.interp(logs, middle, centre)
-    rows = []
-    for own, size, typical in zip(classes, np.exp(middle), centre):
-        low, high = np.quantile(away[own], [TAIL, 1 - TAIL]) * (1 + MARGIN)
-        rows.append((float(size), float(typical + low), float(typical + high)))
-    first, last = rows[0], rows[-1]
+    lasts = [*firsts[1:], count]
+    names = [c for c, (a, b) in enumerate(zip(firsts, lasts)) for _ in range(a, b)]
+    sizes = [sum(sizes[a:b]) for a, b in zip(firsts, lasts)]
+    named = F.get(F.array(*map(F.lit, names)), F.col("_class")).alias("_class")
+    classed = classed.select("size", "ratio", named)
+    centre = np.array([m for (m,) in _quantiles(classed, "ratio", sizes, [0.5])])
+
+    def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            logs = np.log(part.column(0).to_numpy(zero_copy_only=False).astype(float))
+            away = part.column(1).to_numpy(zero_copy_only=False) - np.interp(logs, middle, centre)
+            yield pa.record_batch([part.column(2), pa.array(away)], names=["_class", "away"])
+
+    away = classed.mapInArrow(distance, "_class int, away double")
+    limits = _quantiles(away, "away", sizes, [TAIL, 1 - TAIL])
+    bands = [
+        (float(size), float(typical + low * (1 + MARGIN)), float(typical + high * (1 + MARGIN)))
+        for (low, high), size, typical in zip(limits, np.exp(middle), centre)
+    ]
+    first, last = bands[0], bands[-1]
     beyond = []
     for end, keep in ((first, lambda n: n < first[0]), (last, lambda n: n > last[0])):
         by = [end[i + 1] - limit for i, limit in enumerate(wide.limits(end[0]))]
         beyond.append([(n, a + by[0], b + by[1]) for n, a, b in wide.rows if keep(n)])
-    return replace(wide, rows=(*beyond[0], *rows, *beyond[1]))
+    return replace(wide, rows=(*beyond[0], *bands, *beyond[1]))
 
 
 def _repeat_words(words: list[bytes]) -> int:
@@ -180,18 +221,11 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, good: DataFrame, wide: Bands = Bands()) -> Bands:
-    """The bands learned from the documents named in ``good`` (``_id``).
+    """The bands learned from all documents named in ``good`` (``_id``).
 
-    The sample is spread over ``good`` by a hash of the id; its ids are at most
-    ``SAMPLE_ROWS`` and are broadcast, so no text is shuffled or leaves its executor:
-    sizes and ratios come to the driver.
+    Every text is compressed where it lies; only ids, sizes and ratios are shuffled, and
+    rows that are alike in the three count once.
     """
-    chosen = good.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
-    sample = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-        .select("_id", "text")
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -206,14 +240,9 @@ def fit(docs: DataFrame, good: DataFrame, wide: Bands = Bands()) -> Bands:
                 names=["_id", "size", "ratio"],
             )
 
-    measured = (
-        sample.mapInArrow(run, "_id long, size long, ratio double")
-        .limit(2 * SAMPLE_ROWS)  # more only if most ids occur several times
-        .toPandas()
-        .drop_duplicates(ignore_index=True)
-        .sort_values(["_id", "size", "ratio"])
-    )
-    return learned(measured["size"].to_numpy(float), measured["ratio"].to_numpy(), wide)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").filter("_id is not null")
+    measured = texts.mapInArrow(run, "_id long, size long, ratio double")
+    return learned(measured.join(good, "_id", "left_semi").dropDuplicates(), wide)
 
 
 def quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:

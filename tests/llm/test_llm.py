@@ -315,6 +315,27 @@ def test_op5_learned_bands_reject_junk_that_the_base_rule_keeps(spark):
     assert len(bad) > 50 and bad.count(False) >= 0.6 * len(bad)
 
 
+def test_op5_learns_from_every_good_text(spark):
+    import zstandard
+
+    sf = "/root/testdata/sf0.1"
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    data = [t.encode() for t in texts if t and len(t.encode()) >= 64]
+    assert len(data) > 8_000  # more than were once sampled
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    size, ratio = map(np.array, zip(*sorted((len(t), len(t) / len(compress(t))) for t in data)))
+    classes = np.array_split(np.arange(len(size)), quality.MOST_CLASSES)
+    middle = [np.median(np.log(size[own])) for own in classes]
+    centre = [np.median(ratio[own]) for own in classes]
+    away = ratio - np.interp(np.log(size), middle, centre)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bands = quality.fit(docs, docs.select(F.col("doc_id").alias("_id")))
+    rows = {round(row[0], 6): row[1:] for row in bands.rows}
+    for own, log, typical in zip(classes, middle, centre):
+        tails = np.quantile(away[own], [quality.TAIL, 1 - quality.TAIL]) * (1 + quality.MARGIN)
+        assert rows[round(float(np.exp(log)), 6)] == pytest.approx(typical + tails)
+
+
 def test_op5_few_labels_and_the_last_chunk(spark, awkward):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     few = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
