@@ -420,3 +420,11 @@ def test_a_restriction_without_a_property_is_rejected(spark):
     parts = decompose(triples)
     assert rows(parts.kb["subclass_of_some"]) == set()
     assert rows(parts.rejects) == {("A", "_:x")}
+
+
+def test_order_lines_are_numbered_once_for_all_triples(spark):
+    from ontomill.sources import warehouse_ontology
+
+    triples = warehouse_ontology.expressions(spark, "/root/testdata/sf0.001")
+    plan = triples._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
