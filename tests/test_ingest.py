@@ -1,6 +1,7 @@
 """N-Triples in, knowledge-base tables out."""
 
 import random
+import re
 
 import pytest
 from conftest import row_list, rows
@@ -428,3 +429,20 @@ def test_order_lines_are_numbered_once_for_all_triples(spark):
     triples = warehouse_ontology.expressions(spark, "/root/testdata/sf0.001")
     plan = triples._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_links_of_one_property_are_not_gathered_in_one_place(spark, tmp_path):
+    links = spark.range(20_000).selectExpr("concat('a', id) AS s", "'p' AS p", "concat('b', id) AS o")
+    stated = links.unionByName(triples(spark, ":p rdf:type owl:ObjectProperty").selectExpr("'p' AS s", "p", "o"))
+    stated.write.parquet(str(tmp_path / "stated"))
+    stated = spark.read.parquet(str(tmp_path / "stated"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "10000")  # the triples are far larger, the properties are not
+    try:
+        found = axioms.property_assertions(stated, axioms.object_properties(stated))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(prop#\d+, \d+", plan)
+        assert found.count() == 20_000
+    finally:
+        spark.conf.set(threshold, before)
