@@ -12,7 +12,8 @@ from ontomill.plans.build_kb import build_kb, kb_from_triples
 from ontomill.plans.fixpoint import materialise
 from ontomill.schema import OWL, OWL_THING, RDF, RDFS
 from ontomill.sources import axioms
-from ontomill.sources.class_expressions import decompose
+from ontomill.sources.class_expressions import Chains, decompose, list_cells
+from ontomill.sources.scratch import Scratch
 from ontomill.sources.ntriples import (
     format_ntriples,
     parse_ntriples,
@@ -411,7 +412,7 @@ def test_escapes_are_decoded_and_written_again(spark):
 
 
 def test_a_restriction_without_a_property_is_rejected(spark):
-    from ontomill.sources.class_expressions import decompose
+    from ontomill.sources.class_expressions import Chains, decompose, list_cells
 
     lines = [
         "<A> <http://www.w3.org/2000/01/rdf-schema#subClassOf> _:x .",
@@ -446,3 +447,40 @@ def test_links_of_one_property_are_not_gathered_in_one_place(spark, tmp_path):
         assert found.count() == 20_000
     finally:
         spark.conf.set(threshold, before)
+
+
+def test_white_space_around_lines(spark):
+    text = [" \t<a> <b> <c> . \r", "\n\n<a> <b> <d> .\n", "  ", "\t# note", "\nx\ny\nz", " <a> <b> ."]
+    found, rejects = parse_ntriples(spark.createDataFrame([(v,) for v in text], "value string"))
+    assert rows(found) == {("a", "b", "c"), ("a", "b", "d")}
+    assert rows(rejects) == {("\nx\ny\nz",), (" <a> <b> .",)}
+    # Triples are not trimmed a second time beside the match.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("trim(") <= 1
+
+
+def test_lists_are_followed_from_wanted_heads_only(spark):
+    t = triples(
+        spark,
+        """
+        _:a1 rdf:first :x
+        _:a1 rdf:rest _:a2
+        _:a2 rdf:first :y
+        _:a2 rdf:rest _:a3
+        _:a3 rdf:first :z
+        _:a3 rdf:rest rdf:nil
+        _:b1 rdf:first :x
+        _:b1 rdf:rest _:b2
+        _:b2 rdf:first :y
+        _:b2 rdf:rest _:gone
+        """,
+    )
+    chains = Chains(list_cells(t).withColumnRenamed("expr", "cell"), Scratch(spark))
+    assert not chains.shared
+    alone = {("_:b1", "_:b1"), ("_:b2", "_:b1")}
+    assert rows(chains.heads()) == alone | {("_:a1", "_:a1"), ("_:a2", "_:a1"), ("_:a3", "_:a1")}
+    wanted = spark.createDataFrame([("_:b1",)], "head string")
+    assert rows(chains.heads(wanted)) == alone
+    merged = t.unionByName(triples(spark, "_:c1 rdf:first :w\n_:c1 rdf:rest _:a2"))
+    chains = Chains(list_cells(merged).withColumnRenamed("expr", "cell"), Scratch(spark))
+    assert chains.shared
+    assert ("_:a3", "_:c1") in rows(chains.heads()) and ("_:a3", "_:a1") in rows(chains.heads())

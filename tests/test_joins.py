@@ -145,3 +145,18 @@ def test_ordinals_go_on_with_the_next_batch(spark):
     again, last = insert_numbered(batch, first.unionByName(added), last, "cls", "individual")
     assert rows(again) == set() and rows(last) == {("a", 4), ("b", 1), ("c", 1)}
     assert dict(first.dtypes)["num"] == dict(added.dtypes)["num"] == "bigint"
+
+
+def test_keys_in_several_pieces_are_numbered_on(spark):
+    df = spark.range(4_000).selectExpr("CASE WHEN id < 3000 THEN 'a' ELSE concat('b', id % 7) END AS k", "id")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")  # four pieces, most of them of one key
+    try:
+        found = row_list(number_rows(df, "k", "id", total="n"))
+    finally:
+        spark.conf.set(name, before)
+    members = {}
+    for k, i in row_list(df):
+        members.setdefault(k, []).append(i)
+    assert found == [(k, i, num, len(ids)) for k, ids in members.items() for num, i in enumerate(ids, 1)]
