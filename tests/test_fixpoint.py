@@ -136,6 +136,44 @@ def test_equals_direct_computation(spark, seed):
     assert _pairs(closed) == sa
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_what_is_wanted_is_whole(spark, seed):
+    tables = _sample(seed)
+    kb = KnowledgeBase.from_rows(spark, **tables)
+    ci, pi, sa = _brute(tables)
+    assert rows(materialise(kb, wanted={CI: None}).kb[CI]) == ci
+    assert rows(materialise(kb, wanted={PI: None}).kb[PI]) == pi
+    assert rows(materialise(kb, wanted={SA: None}).kb[SA]) == rows(materialise(kb).kb[SA])
+    some = materialise(kb, wanted={CI: {"C1"}, PI: {"P1"}}).kb
+    assert rows(some[CI].filter("cls = 'C1'")) == {f for f in ci if f[0] == "C1"}
+    assert rows(some[PI].filter("prop = 'P1'")) == {f for f in pi if f[0] == "P1"}
+
+
+def test_what_leads_to_nothing_wanted_is_not_stored(spark, monkeypatch):
+    tables = dict(
+        class_individuals=[("A", "a"), ("Other", "a"), ("Guard", "x")],
+        prop_individuals=[("one", "x", "a"), ("one", "x", "b"), ("p", "a", "c"), ("q", "a", "c")],
+        subclass_of_class=[("A", "B"), ("B", "C"), ("Other", "More")],
+        subclass_of_all=[("Guard", "p", "C")],
+        sub_property_of=[("q", "r")],
+        functional_property=[("one",)],
+    )
+    kb = KnowledgeBase.from_rows(spark, **tables)
+    run = materialise(kb, wanted={CI: {"C"}})
+    stored = {r[0] for n in (CI, PI) for r in rows(run.run.facts[n].full)}
+    assert stored == {"A", "B", "C", "Guard", "one", "p"}  # links of equals lead to C as well
+    assert rows(run.kb[CI].filter("cls = 'C'")) == {("C", "a"), ("C", "b")}
+    alone = materialise(kb, rules={"functional_property"}, wanted={SA: None}).run
+    assert alone.facts[CI].full is None and rows(alone.facts[PI].full.select("prop")) == {("one",)}
+    with pytest.raises(ValueError):
+        materialise(run, added=kb)
+    with pytest.raises(ValueError):
+        materialise(kb, wanted={"subclass_of_class": None})
+    monkeypatch.setattr(fixpoint, "MAX_KEY_VALUES", 1)
+    many = materialise(kb, wanted={CI: {"C"}})
+    assert rows(many.kb[CI].filter("cls = 'C'")) == {("C", "a"), ("C", "b")}
+
+
 def _split(tables: dict, seed: int) -> tuple[dict, dict]:
     """Facts and axioms in two random halves."""
     rnd = random.Random(seed)
