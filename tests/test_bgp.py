@@ -7,8 +7,9 @@ import pytest
 from conftest import row_list
 
 from ontomill.kb import KnowledgeBase
-from ontomill.operators.bgp import Link, Type, Var, bgp
+from ontomill.operators.bgp import Link, Type, Var, asked_of, bgp
 from ontomill.operators.stats import class_counts, property_counts, same_as_counts
+from ontomill.plans.fixpoint import materialise
 
 X, Y, Z, W = (Var(n) for n in "xyzw")
 RND = random.Random(5)
@@ -77,3 +78,16 @@ def test_counts(spark):
     assert row_list(class_counts(kb)) == [("A", 2), ("B", 1)]
     assert row_list(property_counts(kb)) == [("p", 2)]
     assert row_list(same_as_counts(kb)) == [("x", 2), ("y", 1)]
+
+
+def test_patterns_name_what_is_wanted(spark):
+    patterns = [Type(X, "A"), Link(X, "p", Y), Link(Y, "q", Z), Type(Y, "B")]
+    asked = asked_of(patterns)
+    assert asked == {"class_individuals": {"A", "B"}, "prop_individuals": {"p", "q"}}
+    assert asked_of(patterns[:1]) == {"class_individuals": {"A"}}
+    kb = KnowledgeBase.from_rows(
+        spark, class_individuals=CI, prop_individuals=PI, subclass_of_class=[("A", "B")],
+        sub_property_of=[("q", "p")], op_domain=[("A", "q")],
+    )
+    part, whole = materialise(kb, wanted=asked).kb, materialise(kb).kb
+    assert row_list(bgp(part, patterns, [X])) == row_list(bgp(whole, patterns, [X]))
