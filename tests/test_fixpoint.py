@@ -174,6 +174,26 @@ def test_what_leads_to_nothing_wanted_is_not_stored(spark, monkeypatch):
     assert rows(many.kb[CI].filter("cls = 'C'")) == {("C", "a"), ("C", "b")}
 
 
+def test_a_join_without_new_facts_on_either_side_is_left_out(spark):
+    kb = KnowledgeBase.from_rows(
+        spark,
+        class_individuals=[("A", "a"), ("G", "x")],
+        prop_individuals=[("p", "x", "a"), ("one", "x", "a"), ("one", "x", "b")],
+        subclass_of_all=[("G", "p", "H")],
+        equivalent_to_intersection=[("AH", "A", "H")],
+        functional_property=[("one",)],
+    )
+    run = materialise(kb, rules=set(RULES) - {"same_as_transitive_closure", "same_as_class_individual"})
+    joins = {}
+    for stage, table, source, _, _ in row_list(run.derivations()):
+        if stage:
+            joins.setdefault(table, {}).setdefault(stage, set()).add(source)
+    # a is in H by the guard, then in AH by both; the guard and the single value are not met again
+    assert joins[CI] == {1: {"guarded"}, 2: {"pair"}, 3: {"class"}}
+    assert joins[SA] == {1: {"single_value"}}
+    assert rows(run.kb[CI]) == {("A", "a"), ("G", "x"), ("H", "a"), ("AH", "a")}
+
+
 def _split(tables: dict, seed: int) -> tuple[dict, dict]:
     """Facts and axioms in two random halves."""
     rnd = random.Random(seed)
