@@ -551,6 +551,61 @@ def test_op7_each_text_of_an_id_is_confirmed_by_itself(spark):
     assert len(own) == 4 and own[keys[10]] != own[keys[11]]
 
 
+def test_op7_texts_changed_in_many_places_are_not_paired(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    for doc in range(120):
+        words = [f"w{i}" for i in range(120)]
+        for place in rng.sample(range(2, 118, 2), 7):
+            words[place] = f"x{doc}_{place}"
+        rows.append((doc, " ".join(words)))
+    confirmed, pairs = minhash._confirmed, []
+
+    def counted(near, *rest):
+        pairs.append(near.count())
+        return confirmed(near, *rest)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(frame, size=2).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in found) and len(found) == 120
+    assert sum(pairs) < 1_000  # of 7,140
+
+
+@pytest.mark.parametrize("bits", [None, 0])
+def test_op7_cross_round_finds_every_link(spark, monkeypatch, bits):
+    from ontomill.sources.scratch import Scratch
+
+    if bits is not None:  # a table that tells no shingles apart
+        monkeypatch.setattr(minhash, "MIN_TABLE_BITS", 1)
+        monkeypatch.setattr(minhash, "MAX_TABLE_BITS", 1)
+    rng, rows = random.Random(6), []
+    for node in range(300):
+        words = [f"w{node % 9}_{i}" for i in range(rng.choice([3, 40, 60]))]
+        for place in rng.sample(range(len(words)), rng.choice([0, 1, 2, 3, 5]) if len(words) > 3 else 0):
+            words[place] = f"x{rng.randrange(40)}"
+        rows.append((node, node % 50, " ".join(words)))
+    sets = minhash.shingle_sets([text for _, _, text in rows], 2)
+    texts = spark.createDataFrame(
+        [(node, comp, len(own), text) for (node, comp, text), own in zip(rows, sets)],
+        "node long, comp long, n long, text string",
+    )
+    found = {tuple(r) for r in minhash._crossed(Scratch(spark), texts, 2, 80).collect()}
+    for b, other in enumerate(sets):
+        for a in range(b):
+            both = len(np.intersect1d(sets[a], other))
+            if a % 50 != b % 50 and 100 * both >= 80 * (len(sets[a]) + len(other) - both):
+                assert (a, b) in found
+    assert all(a % 50 != b % 50 for a, b in found) and found
+
+
+def test_op7_filter_of_texts_keeps_all_that_are_asked_for(spark):
+    texts = spark.range(0, 20_000).selectExpr("id * 7 - 5000 as doc_id", "'x' as text")
+    asked = texts.filter("doc_id % 50 = 0").select("doc_id")
+    kept = minhash._may_hold(texts, asked)
+    assert kept.columns == texts.columns and kept.count() < 500
+    assert kept.join(asked, "doc_id").count() == asked.count() == 400
+
+
 # 8 top k
 
 
