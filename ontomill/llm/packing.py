@@ -16,6 +16,7 @@ this, and a level moves bin rows (ids and sizes), never pieces or tokens.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,6 +44,9 @@ MAX_CHUNKS = 600_000
 CALL_CHUNKS = 2_000
 #: Longer chunks are not kept.
 MAX_CHUNK_BYTES = 64
+#: UTF-8 of letters that the tokenizer neither parts nor composes, and marks it parts from them.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,6 +56,8 @@ class _Words(dict):
 
     The tokenizer drops white space and lets no token reach over it, so the ids of a
     text are those of its chunks. The library lower-cases and normalises each chunk.
+    A plain chunk is a word with marks after it. These are encoded apart, and a word once
+    for all its marks and capitals; its last token is one that ends words.
     """
 
     def __init__(self, path: str):
@@ -59,24 +65,65 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; chunks not seen before go to the tokenizer many at a time."""
-        if len(self) > MAX_CHUNKS:
+        if len(self) > 2 * MAX_CHUNKS // 3:
             self.clear()
+        if len(self.plain) > MAX_CHUNKS // 3:
+            self.plain.clear()
         split = [text.encode().split() if text else [] for text in texts]
         unseen = list(set().union(*split) - self.keys())
-        for at in range(0, len(unseen), CALL_CHUNKS):
-            self._learn(unseen[at : at + CALL_CHUNKS])
-        joined = [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+        chunks, words, others = [], [], []
         for chunk in unseen:
+            word = chunk.rstrip(MARKS)
+            if word.isalpha() or LETTERS.fullmatch(word):
+                chunks.append(chunk)
+                words.append(word.lower())
+            else:
+                others.append(chunk)
+        new = list(set(words) - self.plain.keys())
+        for at in range(0, len(new), CALL_CHUNKS):
+            self._learn_plain(new[at : at + CALL_CHUNKS])
+        marks = {chunk[len(word) :] for chunk, word in zip(chunks, words)} - self.keys()
+        marks = list(marks.difference(others, [b""]))
+        others += marks
+        for at in range(0, len(others), CALL_CHUNKS):
+            self._learn(others[at : at + CALL_CHUNKS])
+        self[b""] = b""
+        for chunk, word in zip(chunks, words):
+            self[chunk] = self.plain[word] + self[chunk[len(word) :]]
+        joined = [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+        for chunk in [*unseen, *marks]:
             if len(chunk) > MAX_CHUNK_BYTES:
-                del self[chunk]
+                self.pop(chunk, None)
+        for word in new:
+            if len(word) > MAX_CHUNK_BYTES:
+                del self.plain[word]
         return joined
 
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """Encode plain words as one text; each ends where a token that ends words does."""
+        found = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(found[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ending[ids]) + 1)).tolist()
+        if len(cuts) != len(words):  # the vocabulary lacks an ending; ask for each alone
+            for word in words:
+                alone = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+                self.plain[word] = np.array(alone, "<u4").tobytes()
+            return
+        data, low = ids.tobytes(), 0
+        for word, high in zip(words, cuts):
+            self.plain[word] = data[low:high]
+            low = high
+
     def _learn(self, chunks: list[bytes]) -> None:
         """Encode chunks as one text; a token belongs to the chunk it begins in."""
         written = [chunk.decode() for chunk in chunks]

@@ -195,6 +195,31 @@ def test_op2_tree_and_awkward_rows(spark, awkward):
     assert packed.agg(F.sum(F.size("ids"))).first()[0] == odd.agg(F.sum("length")).first()[0]
 
 
+def test_op2_a_word_is_encoded_once_for_its_marks_and_capitals(monkeypatch):
+    own = packing._Words(queries.WORD_VOCABULARY)
+    library, asked = own.tokenizer, []
+
+    class Asked:
+        def encode(self, text, **options):
+            asked.append(text)
+            return library.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    own.tokenizer = Asked()
+    odd = "Word's it's' \u00c0\u00c9, \u00dcnder... a<|endoftext|>, <|endoftext|> \u1e9e \u0130x \ufb01 12ab a_ a- -- cafe\u0301!"
+    texts = ["Word, word. WORD! (word) word", odd, "x" * 100 + ",", "\u00d7\u00f7 \u00df\u00ff \u0178. a\u0085b", None, ""]
+    monkeypatch.setattr(packing, "MAX_CHUNKS", 6)
+    for _ in range(2):
+        for text, ids in zip(texts, own.encode_all(texts)):
+            alone = [library.encode(c, add_special_tokens=False).ids for c in re.split(r"[ \t-\r]+", text or "") if c]
+            assert np.frombuffer(ids, "<u4").tolist() == [n for one in alone for n in one]
+    assert sum(text.lower().split().count("word") for text in asked) <= 4
+    assert not any("word," in text.lower() for text in asked)
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 6, 5, 8]
