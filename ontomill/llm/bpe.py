@@ -44,6 +44,9 @@ LONGEST_KEPT = 48
 #: What a kept word takes beside its characters and ids: two objects and a place in a dict.
 ENTRY_BYTES = 180
 _NEVER = 1 << 60
+#: Letters, and marks that the pattern always parts from letters before them.
+_LETTERS = regex.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Transducer:
@@ -306,7 +309,9 @@ class Codec(dict):
     A text is cut before blanks that another character than white space follows. No match
     of the pattern reaches over such a place and no lookahead sees past it, so the parts
     are encoded apart and often kept. Texts in which more white space follows a blank are
-    cut into runs of white space, each with the run of other characters after it.
+    cut into runs of white space, each with the run of other characters after it. Where
+    the pattern parts marks from letters before them, as a few samples tell, a word is
+    encoded once for all marks that follow it.
 
     What is kept has two halves, the younger of which is filled. When it holds half of
     ``MAX_CACHE_BYTES`` it becomes the older one, and what was not used since goes.
@@ -321,13 +326,22 @@ class Codec(dict):
         self.pieces = regex.compile(pattern)
         self.chunks = regex.compile(r"\s*\S+|\s+")
         self.blank = regex.compile(r"\s|$")
+        marked = [f" {word}{mark}" for word in ("a", "Zé", "ßÿÀ") for mark in (*_MARKS, _MARKS)]
+        self.parts_marks = all(
+            self.pieces.findall(word) == [word.rstrip(_MARKS), word[len(word.rstrip(_MARKS)) :]]
+            for word in marked
+        )
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
             if self.blank.match(word):
                 raise _Odd
-            found = self.chunk_ids(" " + word)
+            letters = word.rstrip(_MARKS)
+            if self.parts_marks and letters != word and _LETTERS.fullmatch(letters):
+                found = self[letters] + self.chunk_ids(word[len(letters) :])
+            else:
+                found = self.chunk_ids(" " + word)
         if len(word) <= LONGEST_KEPT:
             self.held += ENTRY_BYTES + len(word) + len(found)
             if self.held > MAX_CACHE_BYTES // 2:

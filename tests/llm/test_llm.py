@@ -119,6 +119,17 @@ def test_transducer_and_decoder_on_random_input():
         assert codec.decoder.decode(ids) == data.decode("utf-8", "replace")
 
 
+def test_op1_a_word_is_encoded_once_for_its_marks(monkeypatch):
+    own, asked = bpe.Codec(bpe.codec(queries.RANKS, queries.PATTERN).machine.ranks, queries.PATTERN), []
+    encode = own.machine.encode
+    monkeypatch.setattr(own.machine, "encode", lambda piece: asked.append(piece) or encode(piece))
+    text = "a undeiner undeiner, undeiner... undeiner') undeiner's \u00dcn\u00e7%% \u00dcn\u00e7 x_ 1, ,"
+    pieces = [encode(piece.encode()) for piece in own.pieces.findall(text)]
+    assert own.encode(text).tolist() == [n for piece in pieces for n in piece]
+    assert asked.count(b" undeiner") == 3  # alone and before an apostrophe
+    assert asked.count(" \u00dcn\u00e7".encode()) == 1
+
+
 def test_machines_start_afresh(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_ARCS", 50)
     monkeypatch.setattr(bpe, "MAX_CACHE_BYTES", 2_000)
