@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 from conftest import row_list, rows
+from pyspark.sql import functions as F
 
 from ontomill.kb import KnowledgeBase
 from ontomill.operators import joins
@@ -317,6 +318,26 @@ def test_pieces_of_a_large_group_are_written_out_once(spark, monkeypatch):
         assert row_list(written_out(facts, groups, ends)) == sorted(wanted)
 
 
+def test_rows_of_a_large_group_are_dealt_out_with_few_facts_a_task(spark, monkeypatch):
+    for name, value in (("PIECE", 8), ("SLAB", 16), ("ROWS_A_TASK", 1_000)):
+        monkeypatch.setattr(f"ontomill.operators.components.{name}", value, raising=False)
+    everyone, values = [f"a{i:03}" for i in range(100)], [f"v{i}" for i in range(300)]
+    groups = spark.createDataFrame([(a, "a000") for a in everyone], "ind string, root string")
+    facts = spark.createDataFrame(
+        [("p", "a000", v) for v in values] + [("p", "a007", "v0"), ("p", "x", "v1"), ("p", None, "v2")],
+        "prop string, domain string, range string",
+    )
+    out = written_out(facts, groups, ["domain"])
+    wanted = {("p", a, v) for a in everyone for v in values} | {("p", "x", "v1"), ("p", None, "v2")}
+    found = [tuple(r) for r in out.collect()]
+    assert len(found) == len(wanted) and set(found) == wanted
+    tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("range").alias("facts")
+    )
+    # 30,000 rows that come from some 300 short ones are not left to the one task these would fit in.
+    assert all(r["rows"] <= 6_000 and r["facts"] <= 200 for r in tasks.collect())
+
+
 def test_a_long_chain_of_stages_keeps_few_tables(spark):
     chain = KnowledgeBase.from_rows(
         spark,
